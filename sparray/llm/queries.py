@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, url_filters
-from .common import table
+from . import decontam, line_dedup, packing, token_counts, url_filters
+from .common import materialize, table
 
 #: The contract's rules (fixed values).
 URL_RULES = (
@@ -20,11 +20,27 @@ URL_RULES = (
 )
 
 
+def vocabulary() -> str:
+    """The vocabulary file of the queries; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [url_filters.host_path_rule(*rule) for rule in URL_RULES]
     return url_filters.judge_urls(table(spark, sf_dir, "pages"), [*rules, *url_filters.GENERAL_RULES])
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    histogram = token_counts.length_histogram(table(spark, sf_dir, "documents"), vocabulary())
+    return token_counts.context_limits(materialize(histogram, "lengths"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces_of(table(spark, sf_dir, "documents"), vocabulary()))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup.dedup_lines(docs)
@@ -45,7 +61,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filters, op8_line_dedup, op10_decontamination)}
+    return {f.__name__: f for f in (op2_url_filters, op4_token_counts, op5_packing, op8_line_dedup, op10_decontamination)}
 
 
 #: A-Z lower-cased in DuckDB, as everywhere here.
