@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, packing, token_counts, url_filters
+from . import decontam, line_dedup, packing, token_counts, topk, url_filters
 from .common import materialize, table
 
 #: The contract's rules (fixed values).
@@ -32,6 +32,10 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_urls(table(spark, sf_dir, "pages"), [*rules, *url_filters.GENERAL_RULES])
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     histogram = token_counts.length_histogram(table(spark, sf_dir, "documents"), vocabulary())
     return token_counts.context_limits(materialize(histogram, "lengths"))
@@ -61,7 +65,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filters, op4_token_counts, op5_packing, op8_line_dedup, op10_decontamination)}
+    return {f.__name__: f for f in (op2_url_filters, op3_topk, op4_token_counts, op5_packing, op8_line_dedup, op10_decontamination)}
 
 
 #: A-Z lower-cased in DuckDB, as everywhere here.
@@ -91,6 +95,18 @@ SELECT j.page_id, j.host, j.path, j.rule, coalesce(r.verdict, CASE WHEN j.patter
 FROM judged j LEFT JOIN rules r ON j.rule = r.rule
 """
 
+_OP3 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM scored
+)
+SELECT * FROM ranked WHERE rank <= 20
+"""
+
 _OP8 = rf"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents
@@ -132,4 +148,4 @@ FROM dw d LEFT JOIN hit_words h ON d.doc_id = h.doc_id LEFT JOIN hit_items t ON
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": _OP2, "op8_line_dedup": _OP8, "op10_decontamination": _OP10}
+    return {"op2_url_filters": _OP2, "op3_topk": _OP3, "op8_line_dedup": _OP8, "op10_decontamination": _OP10}
