@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, packing, token_counts, topk, url_filters
+from . import decontam, line_dedup, ngram_join, packing, token_counts, topk, url_filters
 from .common import materialize, table
 
 #: The contract's rules (fixed values).
@@ -45,6 +45,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces_of(table(spark, sf_dir, "documents"), vocabulary()))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup.dedup_lines(docs)
@@ -65,7 +69,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filters, op3_topk, op4_token_counts, op5_packing, op8_line_dedup, op10_decontamination)}
+    return {f.__name__: f for f in (op2_url_filters, op3_topk, op4_token_counts, op5_packing, op6_ngram_join, op8_line_dedup, op10_decontamination)}
 
 
 #: A-Z lower-cased in DuckDB, as everywhere here.
@@ -107,6 +111,27 @@ WITH v AS (
 SELECT * FROM ranked WHERE rank <= 20
 """
 
+_OP6 = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' '))) END AS s FROM w
+), e AS MATERIALIZED (
+  SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s
+), shared AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS k
+  FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * a.n >= 90 * b.n AND 100 * b.n >= 90 * a.n GROUP BY 1, 2
+), links AS MATERIALIZED (
+  SELECT u, v FROM shared WHERE 100 * k >= 90 * (n + m - k)
+), both_ways AS MATERIALIZED (
+  SELECT u, v FROM links UNION ALL SELECT v, u FROM links
+), reach(doc_id, seen) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, b.v FROM reach r JOIN both_ways b ON r.seen = b.u
+), top AS (SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY doc_id)
+SELECT s.doc_id, len(s.s) AS n_shingles, t.component_id FROM s JOIN top t ON s.doc_id = t.doc_id
+"""
+
 _OP8 = rf"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents
@@ -148,4 +173,4 @@ FROM dw d LEFT JOIN hit_words h ON d.doc_id = h.doc_id LEFT JOIN hit_items t ON
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": _OP2, "op3_topk": _OP3, "op8_line_dedup": _OP8, "op10_decontamination": _OP10}
+    return {"op2_url_filters": _OP2, "op3_topk": _OP3, "op6_ngram_join": _OP6, "op8_line_dedup": _OP8, "op10_decontamination": _OP10}
