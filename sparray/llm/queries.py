@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, ngram_join, packing, token_counts, topk, url_filters
+from . import decontam, html_extract, line_dedup, ngram_join, packing, token_counts, topk, url_filters
 from .common import materialize, table
 
 #: The contract's rules (fixed values).
@@ -55,6 +55,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = decontam.with_marks(docs, table(spark, sf_dir, "benchmark"), "marks")
@@ -69,7 +73,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filters, op3_topk, op4_token_counts, op5_packing, op6_ngram_join, op8_line_dedup, op10_decontamination)}
+    return {f.__name__: f for f in (op2_url_filters, op3_topk, op4_token_counts, op5_packing, op6_ngram_join, op8_line_dedup, op9_html_extraction, op10_decontamination)}
 
 
 #: A-Z lower-cased in DuckDB, as everywhere here.
