@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, line_dedup, ngram_join, packing, token_counts, topk, url_filters
+from . import decontam, html_extract, line_dedup, ngram_join, packing, pii, token_counts, topk, url_filters
 from .common import materialize, table
 
 #: The contract's rules (fixed values).
@@ -49,6 +49,12 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.with_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(f"pii_base_{k.name}").cast("bigint").alias(f"n_{k.name}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("all").alias("spans"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = line_dedup.dedup_lines(docs)
@@ -73,7 +79,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filters, op3_topk, op4_token_counts, op5_packing, op6_ngram_join, op8_line_dedup, op9_html_extraction, op10_decontamination)}
+    return {f.__name__: f for f in (op2_url_filters, op3_topk, op4_token_counts, op5_packing, op6_ngram_join, op7_pii, op8_line_dedup, op9_html_extraction, op10_decontamination)}
 
 
 #: A-Z lower-cased in DuckDB, as everywhere here.
