@@ -16,7 +16,7 @@ from collections.abc import Iterable, Sequence
 import numpy as np
 
 #: Entries of the cache of pieces and of the cache of bare words (about 200 bytes each); a full cache starts anew.
-CACHED = 600_000
+CACHED = 400_000
 WIDTH = 4
 
 _encoders: dict[tuple[str, bool], Encoder] = {}

@@ -52,7 +52,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: st
         for batch in batches:
             yield pa.array([cut(ids + END, capacity, keep_ids) for i in range(0, len(batch), STEP) for ids in coder.encode(batch.slice(i, STEP).to_pylist())], pa.list_(_PIECE))
 
-    found = docs.select(F.col(doc_id).alias("doc_id"), F.arrow_udf(pieces, PIECES)(F.col(text)).alias("p")).select("doc_id", F.inline("p"))
+    found = docs.select(F.col(doc_id).alias("doc_id"), F.arrow_udf(pieces, PIECES)(F.col(text)).alias("p")).select("doc_id", F.inline_outer("p"))  # a plain inline would have a filter inferred that encodes once more
     return found if keep_ids else found.drop("ids")
 
 
