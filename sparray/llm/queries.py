@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_extract, line_dedup, ngram_join, packing, pii, token_counts, topk, url_filters
+from . import decontam, html_extract, line_dedup, ngram_join, packing, pii, token_counts, topk, toxicity, url_filters
 from .common import materialize, table
 
 #: The contract's rules (fixed values).
@@ -27,6 +27,14 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = lambda c: F.crc32(F.col(c).cast("string").cast("binary")) % 3 == 1
+    score = toxicity.toxicity(docs, table(spark, sf_dir, "labels"), ~held_out("id"))
+    scored = docs.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), score.alias("score"))
+    return scored.withColumn("predicted", F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [url_filters.host_path_rule(*rule) for rule in URL_RULES]
     return url_filters.judge_urls(table(spark, sf_dir, "pages"), [*rules, *url_filters.GENERAL_RULES])
@@ -79,7 +87,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_url_filters, op3_topk, op4_token_counts, op5_packing, op6_ngram_join, op7_pii, op8_line_dedup, op9_html_extraction, op10_decontamination)}
+    return {f.__name__: f for f in (op1_toxicity, op2_url_filters, op3_topk, op4_token_counts, op5_packing, op6_ngram_join, op7_pii, op8_line_dedup, op9_html_extraction, op10_decontamination)}
 
 
 #: A-Z lower-cased in DuckDB, as everywhere here.
