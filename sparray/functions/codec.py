@@ -117,7 +117,7 @@ def rounded_int(v: Column) -> Column:
     """A double to the nearest BIGINT, halves away from zero; NaN is 0 and what is too large is clamped."""
     near = F.round(v)
     safe = F.when(F.isnan(v) | (near >= float(_2_63)) | (near < -float(_2_63)), double(0)).otherwise(near)
-    return F.when(near >= float(_2_63), F.lit(_2_63 - 1)).when(near < -float(_2_63), F.lit(-_2_63)).otherwise(safe.cast("bigint"))
+    return F.when(F.isnan(v), F.lit(0).cast("bigint")).when(near >= float(_2_63), F.lit(_2_63 - 1)).when(near < -float(_2_63), F.lit(-_2_63)).otherwise(safe.cast("bigint"))
 
 
 def encode(v: Column, dtype: DType) -> Column:
