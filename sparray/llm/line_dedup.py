@@ -47,6 +47,7 @@ class LineIndex:
         self.spark, self.fanout = spark, fanout
         self.levels: list[list[DataFrame]] = []
         self.merges = 0
+        self.retired: list[DataFrame] = []
 
     def runs(self) -> list[DataFrame]:
         return [run for level in self.levels for run in level]
@@ -69,8 +70,13 @@ class LineIndex:
             both = reduce(DataFrame.union, old).repartition("h1", "h2").sortWithinPartitions("h1", "h2")
             self.merges += 1
             self._put(materialize(both, "line-run"), level + 1)
-            for x in old:
-                remove(x)
+            self.retired += old
+
+    def vacuum(self) -> None:
+        """Delete the files of runs that have been merged; what add() returned before may be gone then."""
+        for run in self.retired:
+            remove(run)
+        self.retired = []
 
     def first_holders(self) -> DataFrame:
         return reduce(DataFrame.union, self.runs())
@@ -90,6 +96,7 @@ def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     index = LineIndex(docs.sparkSession, fanout)
     for b in range(len(bounds) + 1):
         index.add(lines.where(F.col("batch") == b))
+        index.vacuum()
     return lines.join(index.first_holders(), ["h1", "h2", "doc"], "left_anti").select("doc", "version", "pos")
 
 
