@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +51,19 @@ def remove(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_holder: list[tuple[str, Callable[[], None]]] = []
+
+
+def claim(name: str, clear: Callable[[], None]) -> None:
+    """A Python worker lives through many operators, and keeps the caches of one at a time: ``name`` is at work now, and
+    the caches of the operator before it, if another, are emptied."""
+    if _holder and _holder[0][0] != name:
+        _holder.pop()[1]()
+    if not _holder:
+        _holder.append((name, clear))
+    pa.default_memory_pool().release_unused()
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, all else untouched. Pure ASCII strings take the faster built-in."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import claim, materialize
 from .decontam import steps
 from .graph import components
 
@@ -48,7 +48,7 @@ MIN_BUCKETS = 256
 TILE_TEXTS = 1024
 TILE_SHINGLES = 4_000_000
 #: Words whose hashes a worker keeps; a full cache starts anew.
-CACHED = 500_000
+CACHED = 300_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -155,6 +155,7 @@ def signed(docs: DataFrame, doc_id: str, text: str, words: int, bands: Bands, n_
     bits = n_buckets.bit_length() - 1
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("word hashes", _word_hashes.clear)
         for batch in batches:
             for i in range(0, batch.num_rows, BATCH_TEXTS):
                 ids = batch.column(0).slice(i, BATCH_TEXTS).to_pylist()
@@ -287,6 +288,7 @@ def settled(docs: DataFrame, placed: DataFrame, doc_id: str, text: str, words: i
     """(u, v): the links found in all tiles."""
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("word hashes", _word_hashes.clear)
         held: list[tuple[int, int, np.ndarray]] = []
         now = None
 

@@ -34,13 +34,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import claim
+
 #: Labelled texts that the machine is fitted on, at most of each kind, and the longest among them.
 TOXIC, CLEAN, TRAIN_CHARS = 2500, 5000, 30_000
 LANDMARKS, ROUNDS = 240, 5
 SPAN, DECAY = 5, 0.7
 #: Letters of a word that are compared at a time; longer words are read in overlapping stretches.
 LONGEST, OVERLAP = 40, 10
-CACHED = 500_000
+CACHED = 300_000
 THRESHOLD = 0.7
 RIDGE = 0.0005
 #: The positives that are also trained on with a letter put in or doubled.
@@ -302,11 +304,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, may_train: Column | None = None
     sent = docs.sparkSession.sparkContext.broadcast(train(rows))
 
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        scorer = _scorers.setdefault(id(sent.value), Scorer(sent.value))
+        claim("toxicity", _scorers.clear)
+        machine = sent.value
+        if id(machine) not in _scorers:
+            _scorers.clear()
+            _scorers[id(machine)] = Scorer(machine)  # which holds the machine, so the number stays its own
+        scorer = _scorers[id(machine)]
         for batch in batches:
             yield pa.array(np.concatenate([scorer.machine.score(scorer.highest(batch.slice(i, 128).to_pylist())) for i in range(0, max(1, len(batch)), 128)]), pa.float64())
 
     return F.arrow_udf(score, "double")(F.col(text))
 
 
+#: The scorer of this worker by its machine's number; one at a time.
 _scorers: dict[int, Scorer] = {}
