@@ -7,11 +7,13 @@
    texts before they are shuffled, so a group of any size sends one entry a batch, and what is kept of a key are star
    links to its smallest document. Components of the star links hold all similar pairs.
 2. Texts with the same set are one node, its smallest document.
-3. Tiles. A component of bounded size is one tile; a larger one is cut into tiles by size band and hash, and only tiles
+3. Signatures. Parts can be alike by a passage that many texts share, so such a component is first cut down by the parity
+   bitmaps of its texts alone: in the tiles of point 4, members that the bitmaps do not tell apart are linked.
+4. Tiles. A component of bounded size is one tile; a larger one is cut into tiles by size band and hash, and only tiles
    of the same or adjacent bands meet. In a tile every text has a parity bitmap of its hashed shingles; the bits in which
    two bitmaps differ bound the overlap from above, and pairs that pass are settled by intersecting the sorted arrays.
    Pairs already in one class are not compared again.
-4. The classes are the connected components of the links found.
+5. The classes are the connected components of the links found.
 
 No link is lost: the part argument is exact, and the bitmaps only ever bound from above.
 
@@ -24,7 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from bisect import bisect_left
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,8 @@ MIN_BUCKETS = 256
 #: Texts and shingles of one tile, about.
 TILE_TEXTS = 1024
 TILE_SHINGLES = 4_000_000
+#: Bits of the signatures that are stored, at most.
+SIGNATURE_BITS = 2048
 #: Words whose hashes a worker keeps; a full cache starts anew.
 CACHED = 300_000
 
@@ -131,8 +135,8 @@ def part_keys(found: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
 
 
-SIGNED = "kind int, doc_id bigint, n bigint, d1 bigint, d2 bigint, u bigint, v bigint, bucket int, entries binary"
-_SIGNED = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in ("doc_id", "n", "d1", "d2", "u", "v")), ("bucket", pa.int32()), ("entries", pa.binary())])
+SIGNED = "kind int, doc_id bigint, n bigint, d1 bigint, d2 bigint, u bigint, v bigint, bucket int, entries binary, bitmap binary"
+_SIGNED = pa.schema([("kind", pa.int32()), *((c, pa.int64()) for c in ("doc_id", "n", "d1", "d2", "u", "v")), ("bucket", pa.int32()), ("entries", pa.binary()), ("bitmap", pa.binary())])
 
 
 def _rows(count: int, /, **columns: object) -> pa.RecordBatch:
@@ -162,17 +166,18 @@ def signed(docs: DataFrame, doc_id: str, text: str, words: int, bands: Bands, n_
                 at = 0
                 for part in steps(((t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).slice(i, BATCH_TEXTS).to_pylist()), BATCH_BYTES):
                     some, at = ids[at : at + len(part)], at + len(part)
-                    sizes, firsts, seconds, keys, nodes = [], [], [], [], []
+                    sizes, firsts, seconds, maps, keys, nodes = [], [], [], [], [], []
                     for node, raw in zip(some, part, strict=True):
                         found = shingles(raw, words)
                         one, two = np.frombuffer(hashlib.blake2b(found.tobytes(), digest_size=16).digest(), dtype=np.int64)
                         sizes.append(len(found))
                         firsts.append(int(one))
                         seconds.append(int(two))
+                        maps.append(bitmap(found, signature_bits(len(found))))
                         if node is not None:
                             keys.append(own := part_keys(found, bands))
                             nodes.append(np.full(len(own), node, dtype=np.int64))
-                    yield _rows(len(some), kind=[0] * len(some), doc_id=some, n=sizes, d1=firsts, d2=seconds)
+                    yield _rows(len(some), kind=[0] * len(some), doc_id=some, n=sizes, d1=firsts, d2=seconds, bitmap=maps)
                     if not keys:
                         continue
                     kept, least, u, v = stars(np.concatenate(keys), np.concatenate(nodes))
@@ -230,18 +235,31 @@ def _links(blobs: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"u": u, "v": v})
 
 
-def tile_links(nodes: list[int], sides: list[int], sets: list[np.ndarray], bands: Bands) -> list[tuple[int, int]]:
-    """Links that join the classes of one tile; if there are two sides, only pairs across them are looked at."""
-    order = np.argsort([len(s) for s in sets], kind="stable")
-    sets = [sets[i] for i in order]
-    ids, side = np.array(nodes, dtype=np.int64)[order], np.array(sides)[order]
-    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+def signature_bits(n: int) -> int:
+    """The width of a stored signature for a set of n shingles."""
+    return min(SIGNATURE_BITS, max(256, 1 << (2 * n).bit_length()))
+
+
+def bitmap(found: np.ndarray, bits: int) -> bytes:
+    """For each place, whether an odd number of shingles hash to it."""
+    return np.packbits((np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def folded(raw: bytes, size: int) -> np.ndarray:
+    """A bitmap at a smaller width: its halves laid over each other."""
+    out = np.frombuffer(raw, np.uint64)
+    while len(out) * 8 > size:
+        out = out[: len(out) // 2] ^ out[len(out) // 2 :]
+    return out
+
+
+def pair_links(ids: np.ndarray, side: np.ndarray, sizes: np.ndarray, maps: np.ndarray, bands: Bands, settle: Callable[[int, int], bool]) -> list[tuple[int, int]]:
+    """Links that join the classes of one tile, members in order of size; of two sides only pairs across them are looked
+    at. The bits in which two bitmaps differ are at most the elements in which the sets do."""
     two = len(np.unique(side)) > 1
-    bits = min(16384, max(256, 1 << int(2 * sizes.max()).bit_length()))
-    maps = np.stack([np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.uint64) for s in sets])
-    label = np.arange(len(sets))
+    label = np.arange(len(ids))
     links = []
-    for i in range(len(sets)):
+    for i in range(len(ids)):
         end = int(np.searchsorted(sizes, sizes[i] * bands.den // bands.num, side="right"))
         near = np.arange(i + 1, end)
         near = near[label[near] != label[i]]
@@ -252,12 +270,30 @@ def tile_links(nodes: list[int], sides: list[int], sets: list[np.ndarray], bands
         differ = np.bitwise_count(maps[near] ^ maps[i]).sum(axis=1, dtype=np.int64)
         near = near[differ * (bands.den + bands.num) <= (sizes[near] + sizes[i]) * (bands.den - bands.num)]
         for j in near.tolist():
-            if label[j] != label[i] and (ids[i] == ids[j] or bands.linked(sets[i], sets[j])):
+            if label[j] != label[i] and (ids[i] == ids[j] or settle(i, j)):
                 links.append((int(ids[i]), int(ids[j])))
                 label[label == label[j]] = label[i]
     return links
 
 
+def tile_links(nodes: list[int], sides: list[int], sets: list[np.ndarray], bands: Bands) -> list[tuple[int, int]]:
+    """The exact links of one tile."""
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    sets = [sets[i] for i in order]
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    bits = min(16384, max(256, 1 << int(2 * sizes.max()).bit_length()))
+    maps = np.stack([np.frombuffer(bitmap(s, bits), np.uint64) for s in sets])
+    return pair_links(np.array(nodes, dtype=np.int64)[order], np.array(sides)[order], sizes, maps, bands, lambda i, j: bands.linked(sets[i], sets[j]))
+
+
+def signature_links(nodes: list[int], sides: list[int], sizes: list[int], raw: list[bytes], bands: Bands) -> list[tuple[int, int]]:
+    """Links between all members of one tile that their signatures do not tell apart."""
+    order = np.argsort(sizes, kind="stable")
+    width = min(map(len, raw))
+    maps = np.stack([folded(raw[i], width) for i in order])
+    return pair_links(np.array(nodes, dtype=np.int64)[order], np.array(sides)[order], np.array(sizes, dtype=np.int64)[order], maps, bands, lambda i, j: True)
+
+
 def tiles(nodes: DataFrame, bands: Bands) -> DataFrame:
     """(node, tile, side): the tiles in which each node of (node, n, component) takes part."""
     band = F.lit(0)
@@ -284,55 +320,79 @@ def tiles(nodes: DataFrame, bands: Bands) -> DataFrame:
     return single.union(large.select("node", F.explode(met).alias("m")).select("node", "m.tile", "m.side"))
 
 
+def by_tile(batches: Iterable[pa.RecordBatch], read: Callable[..., tuple], link: Callable[..., list[tuple[int, int]]]) -> Iterator[pa.RecordBatch]:
+    """The links of each tile of a stream sorted by tile, whose other columns ``read`` turns into what ``link`` takes."""
+    held: list[tuple] = []
+    now = None
+
+    def done() -> pa.RecordBatch:
+        links = link(*map(list, zip(*held, strict=True)))
+        return pa.RecordBatch.from_pydict({"u": pa.array([a for a, _ in links], pa.int64()), "v": pa.array([b for _, b in links], pa.int64())})
+
+    for batch in batches:
+        for i in range(0, batch.num_rows, 64):
+            for tile, *rest in zip(*(c.slice(i, 64).to_pylist() for c in batch.columns), strict=True):
+                if tile != now and held:
+                    yield done()
+                    held = []
+                now = tile
+                held.append(read(*rest))
+    if held:
+        yield done()
+
+
+def refined(signatures: DataFrame, placed: DataFrame, bands: Bands) -> DataFrame:
+    """(u, v): links between the members of tiles that signatures do not tell apart; rows are a few hundred bytes."""
+
+    def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from by_tile(batches, lambda node, side, n, raw: (node, side, n, raw), lambda nodes, sides, sizes, raw: signature_links(nodes, sides, sizes, raw, bands))
+
+    rows = signatures.join(placed.hint("merge"), "node").select("tile", "node", "side", "n", "bitmap")
+    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(refine, "u bigint, v bigint")
+
+
 def settled(docs: DataFrame, placed: DataFrame, doc_id: str, text: str, words: int, bands: Bands) -> DataFrame:
-    """(u, v): the links found in all tiles."""
+    """(u, v): the links found in all tiles by the texts themselves."""
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("word hashes", _word_hashes.clear)
-        held: list[tuple[int, int, np.ndarray]] = []
-        now = None
-
-        def done() -> pa.RecordBatch:
-            nodes, sides, sets = zip(*held, strict=True)
-            links = tile_links(list(nodes), list(sides), list(sets), bands)
-            return pa.RecordBatch.from_pydict({"u": pa.array([a for a, _ in links], pa.int64()), "v": pa.array([b for _, b in links], pa.int64())})
-
-        for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                for tile, node, side, raw in zip(*(c.slice(i, 64).to_pylist() for c in batch.columns), strict=True):
-                    if tile != now and held:
-                        yield done()
-                        held = []
-                    now = tile
-                    held.append((node, side, shingles((raw or "").encode("utf-8", "surrogatepass"), words)))
-        if held:
-            yield done()
+        read = lambda node, side, raw: (node, side, shingles((raw or "").encode("utf-8", "surrogatepass"), words))
+        yield from by_tile(batches, read, lambda nodes, sides, sets: tile_links(nodes, sides, sets, bands))
 
     texts = docs.select(F.col(doc_id).cast("bigint").alias("node"), F.col(text).alias("raw"))
     rows = texts.join(placed.hint("merge"), "node").select("tile", "node", "side", "raw")
     return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(settle, "u bigint, v bigint")
 
 
+def grouped(links: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(node, n, component) of every node that has a link."""
+    stars_of = components(links.select("u", "v"))
+    tops = stars_of.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
+    found = stars_of.select(F.col("u").alias("node"), F.col("v").alias("component")).union(tops)
+    return materialize(found.join(sizes.hint("merge"), "node"), "nodes")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """(doc_id, n_shingles, component_id): per row its set size and the smallest document reachable by links."""
     bands = Bands(similarity)
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n_buckets = max(MIN_BUCKETS, 1 << (size // BUCKET_BYTES).bit_length())
     own = materialize(signed(docs, doc_id, text, words, bands, n_buckets), "signed", "kind")
-    sized = own.where("kind = 0").select("doc_id", "n", "d1", "d2")
+    sized = own.where("kind = 0").select("doc_id", "n", "d1", "d2", "bitmap")
     filled = sized.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     first = materialize(filled.groupBy("d1", "d2").agg(F.min("doc_id").alias("node")), "first")
-    members = materialize(filled.join(first.hint("merge"), ["d1", "d2"]).select("doc_id", "n", "node"), "members")
+    members = materialize(filled.join(first.hint("merge"), ["d1", "d2"]).select("doc_id", "n", "node", "bitmap"), "members")
     links = own.where("kind = 2").select("u", "v").union(key_links(own.where("kind = 1"), n_buckets))
     links = materialize(links.distinct(), "star-links")
     node_of = materialize(members.select("doc_id", "node").distinct(), "node-of")
     for end in ("u", "v"):
         links = links.join(node_of.select(F.col("doc_id").alias(end), F.col("node").alias(f"_{end}")).hint("merge"), end).drop(end).withColumnRenamed(f"_{end}", end)
-    stars_of = components(links.select("u", "v"))
-    tops = stars_of.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
-    grouped = stars_of.select(F.col("u").alias("node"), F.col("v").alias("component")).union(tops)
-    sizes = members.where(F.col("doc_id") == F.col("node")).groupBy("node").agg(F.max("n").alias("n"))
-    nodes = materialize(grouped.join(sizes.hint("merge"), "node"), "nodes")
+    own_rows = members.where(F.col("doc_id") == F.col("node"))
+    sizes = own_rows.groupBy("node").agg(F.max("n").alias("n"))
+    signatures = own_rows.select("node", "n", "bitmap")
+    # parts can be alike by a shared passage; signatures cut such components down before texts are moved
+    alike = refined(signatures, materialize(tiles(grouped(links, sizes), bands), "tiles"), bands)
+    nodes = grouped(alike, sizes)
     found = settled(docs, materialize(tiles(nodes, bands), "tiles"), doc_id, text, words, bands)
     # rows of one id with different texts are one document
     twins = node_of.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where(F.col("a") < F.col("b"))
