@@ -18,7 +18,7 @@ import numpy as np
 from .common import claim
 
 #: Entries of the cache of pieces and of the cache of bare words (about 200 bytes each); a full cache starts anew.
-CACHED = 300_000
+CACHED = 400_000
 WIDTH = 4
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
