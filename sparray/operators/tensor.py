@@ -162,6 +162,13 @@ class Tensor:
     def __truediv__(self, other):
         return self._with("/", other)
 
+    @staticmethod
+    def dequantize_matmul(activations: Tensor, weights: Tensor, divisor: float = 0) -> Tensor:
+        """activations [m, k] times quantised weights [k, n]."""
+        from .linalg import dequantize_matmul
+
+        return dequantize_matmul(activations, weights, divisor)
+
     def as_expr(self) -> Variable:
         """The elements as an array for expressions and derivatives; views keep the tensor's identity."""
         return Variable(self.id, "tensor", self.kind, F.col("value"), self.frame, self.size)

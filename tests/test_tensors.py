@@ -59,7 +59,7 @@ def test_matmul(engine):
     ones = tensor(engine, [1] * 8, [1, 8])
     weights = tensor(engine, [1, 2, 3, 4, -1, -2, -3, -4], [8, 1], "int", 3)
     assert dequantize_matmul(ones, weights).numpy() == [[-8]]
-    assert dequantize_matmul(ones, weights, 2).numpy() == [[-4]]
+    assert Tensor.dequantize_matmul(ones, weights, 2).numpy() == [[-4]]
     with pytest.raises(ValueError, match="inner"):
         dequantize_matmul(ones, ones)
 
