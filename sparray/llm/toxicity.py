@@ -191,34 +191,35 @@ def fit_machine(words: list[str], y: np.ndarray, counts: np.ndarray, landmarks:
     return Machine(np.bincount(triple, weight * alpha[mark], minlength=_TABLE), float(w[-1]))
 
 
-def least(words: set[str]) -> int:
-    return min(map(xxhash.xxh3_64_intdigest, words), default=0)
-
-
 def train(texts: Sequence[tuple[str | None, int]]) -> Machine:
-    """A machine from (text, label) rows."""
-    held: dict[tuple[int, int], tuple[set[str], int]] = {}
+    """A machine from (text, label) rows; every row with words counts, copies too."""
+    number: dict[str, int] = {}
+    held: list[tuple[np.ndarray, int]] = []  # each row's words by number: far smaller than sets of strings
     for text, label in texts:
         words = {u for c in set(chunks(text or "")) for u in units(c)}
         if words:
-            held.setdefault((label, least(words)), (words, label))  # of near copies one is enough
-    rows = list(held.values())
-    toxic, clean = [w for w, y in rows if y], [w for w, y in rows if not y]
+            held.append((np.array([number.setdefault(w, len(number)) for w in sorted(words)], dtype=np.int32), label))
     nothing = Machine(np.zeros(_TABLE), -1.0, 1.0, 1e9)
-    if not toxic or not clean:
+    label = np.array([y for _, y in held])
+    toxic = int((label == 1).sum())
+    if not toxic or toxic == len(held):
         return nothing
-    in_toxic, in_clean = Counter(itertools.chain(*toxic)), Counter(itertools.chain(*clean))
+    every = sorted(number)
+    order = np.empty(len(every), dtype=np.int32)
+    order[[number[w] for w in every]] = np.arange(len(every), dtype=np.int32)
+    own = [order[o] for o, _ in held]
+    del held, number
+    sizes = np.zeros((2, len(every)), dtype=np.int64)
+    for o, y in zip(own, label, strict=True):
+        sizes[int(y), o] += 1
+    in_clean, in_toxic = ({every[i]: int(n[i]) for i in np.flatnonzero(n)} for n in sizes)
     common = [w for w, _ in sorted(in_clean.items(), key=lambda x: (-x[1], x[0]))]
     spread = sorted(in_clean, key=lambda w: xxhash.xxh3_64_intdigest(w))
     negative = common[:1500] + spread[:3000]
     hard: list[str] = []
-    every = sorted(set(in_toxic) | set(in_clean))
-    place = {w: i for i, w in enumerate(every)}
-    own = [np.array([place[w] for w in ws]) for ws, _ in rows]
-    label = np.array([y for _, y in rows])
-    only_toxic = np.array([w not in in_clean for w in every])
-    value = np.array([in_toxic[w] if w not in in_clean else 0 for w in every], dtype=float)
-    often = max(3, FREQUENT * len(toxic))
+    only_toxic = sizes[0] == 0
+    value = np.where(only_toxic, sizes[1], 0).astype(float)
+    often = max(3, FREQUENT * toxic)
     frequent = Counter({w: n for w, n in in_toxic.items() if n >= often and w not in in_clean})
     machine = nothing
     for turn in range(ROUNDS + 1):

@@ -149,6 +149,18 @@ def test_toxicity_false_alarms_on_little_data(made_up):
     assert (made_up(*[made_up_text(r, False) for _ in range(400)]) >= toxicity.THRESHOLD).mean() < 0.05
 
 
+def test_toxicity_learns_from_every_row():
+    """Unrelated texts that share a word are rows of their own: a word of one clean text among them is no insult."""
+    r = random.Random(3)
+    told = [made_up_text(r, False).split() for _ in range(60)]
+    anchor = min({"harbour", "idiot", *(w for t in told for w in t if len(w) > 2)}, key=toxicity.xxhash.xxh3_64_intdigest)
+    clean = [" ".join([anchor, *t, *["harbour"] * (i == 0)]) for i, t in enumerate(told[:40])]
+    toxic = [" ".join(["idiot", "harbour", *(w for w in t if w != anchor)]) for t in told[40:]]
+    machine = toxicity.train([(t, 0) for t in clean] + [(t, 1) for t in toxic])
+    score = lambda texts: machine.score(toxicity.Scorer(machine).highest(texts))
+    assert score(["idiot", *toxic]).min() > 0.7 and score(["harbour", *clean]).max() < 0.7
+
+
 def test_triples_are_the_kernel():
     """Normalised weights of gapped triples, against their definition."""
     a, b = "abca", "abxc"
