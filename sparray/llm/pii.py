@@ -64,24 +64,24 @@ class Kind:
     check: Callable[[Column], Column]
     hint: str  # a cheap pattern that every text with a match or proposal holds
     generator: str
-    generator_hint: str
+    generator_hint: str  # likewise, of a proposal
     context: str
 
 
 #: Matches are leftmost and do not overlap: a match starts at the start of a run, or where the last match ended (\G).
 KINDS = (
     Kind("email", rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", lambda m: F.lit(True), "@",
-         rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:@|\(at\)|\[at\]|\{{at\}}| at ) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]|\{{dot\}}| dot ) ?[A-Za-z0-9-]++)++", r"(?i)[(\[{ ]dot[)\]} ]|@", "mail|contact|write|reach|kontakt|correo|courriel"),
+         rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:@|\(at\)|\[at\]|\{{at\}}| at ) ?[A-Za-z0-9-]++(?:(?:\.| \. | ?(?:\(dot\)|\[dot\]|\{{dot\}}| dot ) ?)[A-Za-z0-9-]++)++", r"@|[(\[{]at[)\]}]|[(\[{ ]dot[)\]} ]| at  ?[A-Za-z0-9-]++ ?\.", "mail|contact|write|reach|kontakt|correo|courriel"),
     Kind("ip", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", lambda m: m.rlike(rf"^{_BYTE}(?:\.{_BYTE}){{3}}$"), "[0-9]\\.[0-9]",
-         r"(?<![0-9])[0-9]{1,3}+(?: ?\[\.\] ?|\(\.\)|\[dot\]| \. )[0-9]{1,3}+(?:(?: ?\[\.\] ?|\(\.\)|\[dot\]| \. |\.)[0-9]{1,3}+){2}", r"[\[( ]\.", "ip|host|server|address|from|client"),
+         r"(?<![0-9])(?=[0-9]{1,3}+(?:\.[0-9]{1,3}+){0,2}(?: ?\[\.\]|\(\.\)|\[dot\]| \. ))[0-9]{1,3}+(?:(?: ?\[\.\] ?|\(\.\)|\[dot\]| \. |\.)[0-9]{1,3}+){3}", r"[\[( ]\.|\[dot\]", "ip|host|server|address|from|client"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", lambda m: F.length(digits(m)).between(16, 19) & luhn(F.substring(digits(m), 1, 19)), "[0-9][\\x20-]?[0-9]",
          r"(?<![0-9])[0-9]{4}+[ ./_–-]{1,3}+[0-9]{4,6}+[ ./_–-]{1,3}+[0-9]{4,5}+(?:[ ./_–-]{1,3}+[0-9]{1,7}+)?(?![0-9])", "[0-9]{4}[ ./_–-]{1,3}[0-9]{4}", "card|visa|master|amex|credit|debit|karte|tarjeta|carte"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: F.length(digits(m)).between(8, 15), "\\+[0-9]",
-         r"(?<![0-9.+A-Za-z])(?:00[1-9][0-9]?[ ./-]?)?(?:\([0-9]{2,5}+\)|[0-9]{3,5}+)[ ./-]{1,2}+[0-9]{3,4}+[ ./-]?[0-9]{3,5}+(?![0-9.])", "[0-9]{3}\\)?[ ./-]", "tel|phone|call|mobile|cell|fax|telefon|handy|móvil|llam|appel"),
+         r"(?<![0-9.+A-Za-z])(?:00[1-9][0-9]?[ ./-]?)?(?:\([0-9]{2,5}+\)|[0-9]{3,5}+)[ ./-]{1,2}+[0-9]{3,4}+[ ./-]?[0-9]{3,5}+(?![0-9.])", "(?:[0-9]{3}|[0-9]\\))[ ./-]", "tel|phone|call|mobile|cell|fax|telefon|handy|móvil|llam|appel"),
 )
 NOT_PERSONAL = r"isbn|issn|order|invoice|version|ver\.|release|ref|serial|build|doi|part|item|license|licence|rev|section|page|year|pp?\."
 
-FEATURES = 13
+FEATURES = 15
 
 
 def found_by(text: Column, pattern: str, hint: str) -> tuple[Column, Column]:
@@ -131,6 +131,8 @@ def features(kind: Kind, c: Column) -> Column:
         flag(text.rlike(r"^\([0-9]")),
         F.size(F.regexp_extract_all(F.lower(text), F.lit(r"[(\[{] ?(?:at|dot|\.) ?[)\]}]"), F.lit(0))).cast("double"),
         F.size(F.array_distinct(F.regexp_extract_all(text, F.lit("[ ./_–-]"), F.lit(0)))).cast("double"),
+        flag(F.lower(text).rlike(r"[a-z0-9]@[a-z0-9]|[(\[{]at[)\]}]")),
+        flag(F.lower(text).rlike(r"(?:[a-z0-9-]\.|[(\[{]dot[)\]}] ?| dot )[a-z]{2,}$")),
     )
 
 
@@ -226,13 +228,20 @@ def example(kind: str, label: int, r: random.Random) -> tuple[str, str, str]:
     other = ("order ", "invoice no ", "version ", "ref ", "serial ", "isbn ", "section ", "build ", "item ", "part ")
     after = r.choice((" ", ".", ", ", " " + word()))
     if kind == "email":
-        at, dot = (r.choice((("(at)", "(dot)"), ("[at]", "[dot]"), ("{at}", "{dot}"), (" (at) ", " (dot) "), (" [at] ", " [dot] "))) if label or r.random() < 0.2 else (" at ", r.choice((".", " dot "))))
+        whole = (("(at)", "(dot)"), ("[at]", "[dot]"), ("{at}", "{dot}"), (" (at) ", " (dot) "), (" [at] ", " [dot] "))
+        half = [(a, d) for a, _ in whole for d in (".", " dot ")] + [("@", d) for d in (*(d for _, d in whole), " dot ")]
+        at, dot = r.choice(whole if r.random() < 0.5 else half) if label or r.random() < 0.2 else (" at ", r.choice((".", " dot ")))
         span = f"{word()}{at}{word()}{dot}{r.choice(('com', 'org', 'net', 'de')) if label else word()}"
         if not label and at != " at ":
-            span = span.replace(at, " at ")
+            # a bare "at", a mention, or a price, of which an address has none
+            span = r.choice((span.replace(at, " at "), f"{word()} @{word()}{dot}{word()}", f"{word()}{at}{number(2)}.{number(2)}", f"{word()}{at}{word()} . {word()}"))
     elif kind == "ip":
         dot = r.choice(("[.]", "(.)", "[dot]")) if label else " . "
-        span = dot.join(str(r.randint(0, 255) if label else r.randint(0, 999)) for _ in range(4))
+        dots = [dot] * 3
+        if label and r.random() < 0.5:  # half-written: one or two of the dots are plain
+            for i in r.sample(range(3), r.randint(1, 2)):
+                dots[i] = "."
+        span = "".join(str(r.randint(0, 255) if label else r.randint(0, 999)) + d for d in (*dots, ""))
     elif kind == "card":
         sep = r.choice((".", "/", "  ", "--", "_", " - "))
         raw = r.choice("3456") + number(14)

@@ -211,6 +211,34 @@ def test_pii_added_spans(spark, fitted):
     assert [t for (t,) in rows(pii.redact(df, fitted=fitted), "text")] == ["[email] and call [phone] or host [ip] card [card]", clean, None]
 
 
+AT, DOT = ["(at)", "[at]", "{at}", " (at) ", " [at] "], ["(dot)", "[dot]", "{dot}", " (dot) ", " [dot] "]
+ALONE = {
+    "email": [f"john{a}example.com" for a in AT] + [f"john@example{d}com" for d in DOT] + [f"john{a}example{d}com" for a, d in zip(AT, DOT, strict=True)] + ["jane.doe(at)mail.example.org"],
+    "ip": [f"10{d}0{d}0{d}1" for d in ("[.]", "(.)", "[dot]")] + ["10[.]0.0.1", "10.0[dot]0.1", "10.0.0[.]1", "10[dot]0[dot]0.1", "10(.)0.0(.)1"],
+}
+
+
+@pytest.mark.parametrize("end", ["", ". Then we left", ", or so"])
+def test_pii_each_separator_alone(spark, fitted, end):
+    """A written-out address is found whatever else its text holds; what only looks like one is not."""
+    want = {f"write to {s}{end}": f"{kind}:9:{9 + len(s)}" for kind, spans in ALONE.items() for s in spans}
+    clean = ["we met at noon. Then we left", "look at example.com for more", "see @john. Then go", "ten apples (at) 3.50 each", "it is me@home. Then go", "chapter 10 . 2 . 3 . 4", "held at noon dot dot"]
+    df = spark.createDataFrame([(t,) for t in [*want, *clean]], "text string")
+    got = dict(rows(pii.with_spans(df, fitted=fitted).select("text", pii.listed("all").alias("s")), "text", "s"))
+    assert got == want | dict.fromkeys(clean, "")
+
+
+def test_pii_hints_hold():
+    """Each hint holds for every proposal."""
+    r = random.Random(5)
+    spans = {k.name: [pii.example(k.name, i % 2, r)[1] for i in range(400)] + ALONE.get(k.name, []) for k in pii.KINDS}
+    spans["email"] += ["john at example.com", "john at example . com", "john at example{dot}com"]
+    spans["phone"] += ["(12) 3456789", "(12)-345 6789"]
+    for kind in pii.KINDS:
+        met = [s for s in spans[kind.name] if re.search(kind.generator, s)]
+        assert len(met) > 200 and all(re.search(kind.generator_hint, s) for s in met)
+
+
 def test_pii_query_is_native(spark, sf):
     plan = queries.op7_pii(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
