@@ -1,9 +1,9 @@
 """HTML extraction by the maximum-scoring subsequence.
 
 A page is read as a sequence of tags and text. Each word scores by the elements it stands in, each tag scores below
-zero, and one linear scan finds the contiguous region with the greatest sum, which is the content. Elements that are not
-content wherever they stand (menus, forms, adverts, comments) score below zero word by word and are left out of a region
-that spans them. The weights come from labelled pages: pages with exactly one ``article`` element label their own words,
+zero, and one linear scan finds the contiguous region with the greatest sum, which is the content. Elements that are seldom
+content (menus, forms, adverts, comments) start with a weight below zero that labelled pages can outweigh; while it is
+below zero, they score below zero word by word and are left out of a region that spans them. The weights come from labelled pages: pages with exactly one ``article`` element label their own words,
 and the weights are counted over a bounded sample of them; while scoring, that element itself is not looked at, so pages
 without it are treated alike.
 
@@ -31,7 +31,8 @@ SAMPLE_CHARS = 200_000
 
 #: Elements whose content is no text of the page (fixed values).
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
-#: Elements that are left out wherever they stand, and words of class, id and role that say the same (fixed values).
+#: Elements that are left out unless labelled pages say otherwise, and whole names in class, id and role that say the
+#: same (fixed values).
 ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "noscript", "template", "svg", "select", "button", "object", "canvas", "audio", "video", "head"}
 ASIDE_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies",
@@ -47,6 +48,11 @@ BLOCKS = {
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: What an opening tag closes: the element itself, up to the nearest of these containers (fixed values).
 REOPENED = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
+#: Elements that hold whole pages or articles; a listed word on them names what they hold somewhere, or a layout.
+WHOLE = {"html", "body", "main", "article"}
+#: The weight that a listed element or word starts with, and the words outside content that it stands for.
+PRIOR = -4.0
+PRIOR_WORDS = 5 * math.exp(-PRIOR)
 #: Containers that say nothing about their words, so that only what is more telling counts (fixed values).
 NEUTRAL = {"html", "body", "div", "span", "article", "main", "section", "table", "tbody", "thead", "tfoot", "tr", "center", "font"}
 
@@ -68,7 +74,7 @@ class Weights:
     def context(self, features: tuple[str, ...]) -> float:
         """The score of a word in elements with these features: below 1, and little below 0 where words are left out
         anyway, so that a region can span them."""
-        if any(f[0] == "!" for f in features):
+        if any(f[0] == "!" and self.feature.get(f, PRIOR) < 0 for f in features):
             return self.left_out
         return math.tanh((self.word + sum(self.feature.get(f, 0.0) for f in features)) / 2)
 
@@ -85,13 +91,17 @@ class Piece:
 
 
 def features_of(name: str, attributes: str) -> tuple[str, ...]:
-    """What an element says about its words; "!" marks what is left out wherever it stands."""
+    """What an element says about its words; "!" marks a listed element or a name made of listed words alone."""
     found = [] if name in NEUTRAL else [f"!{name}" if name in ASIDE else name]
     if "=" in attributes:
         for m in NAMED.finditer(attributes):
-            for word in re.split(r"[^a-z0-9]+", next(g for g in m.groups() if g is not None).lower()):
-                if word and not word.isdigit():
-                    found.append(f"!.{word}" if word in ASIDE_WORDS else f".{word}")
+            for whole in next(g for g in m.groups() if g is not None).lower().split():
+                words = [w for w in re.split(r"[^a-z0-9]+", whole) if w and not w.isdigit()]
+                if name in WHOLE:
+                    found += [f".{w}" for w in words if w not in ASIDE_WORDS]
+                else:
+                    mark = "!." if ASIDE_WORDS.issuperset(words) else "."
+                    found += [f"{mark}{w}" for w in words]
     return tuple(found)
 
 
@@ -214,7 +224,7 @@ def counted(page: str) -> Counter:
             for f in p.features:
                 # what stands in a menu is explained by the menu, not by its list items
                 if not left_out or f[0] == "!":
-                    found["f", f, p.inside and not left_out] += n
+                    found["f", f, p.inside] += n
     return found
 
 
@@ -234,7 +244,7 @@ def learn_weights(pages: DataFrame, key: str, html: str, sample: int = SAMPLE) -
     rows = some.mapInArrow(count, "kind string, name string, inside boolean, n bigint").groupBy("kind", "name").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("i"), F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("o")).collect()
     weights = Weights()
     for r in rows:
-        odds = math.log((r["i"] + 5) / (r["o"] + 5))
+        odds = math.log((r["i"] + 5) / (r["o"] + (PRIOR_WORDS if r["kind"] == "f" and r["name"][0] == "!" else 5)))
         if r["kind"] == "f":
             weights.feature[r["name"]] = max(-6.0, min(2.0, odds))
         else:

@@ -277,6 +277,34 @@ def test_html_odd(page, text):
     assert html_extract.Extractor(html_extract.Weights()).extract(page) == text
 
 
+BODY = "<h1>Title</h1><p>Some words here to read.</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<body class='has-sidebar'>{BODY}", "Title\nSome words here to read."),
+        (f"<body class='sidebar'>{BODY}", "Title\nSome words here to read."),
+        (f"<div class='page header-fixed'>{BODY}</div>", "Title\nSome words here to read."),
+        (f"<article class='post share-enabled'>{BODY}</article>", "Title\nSome words here to read."),
+        (f"<main id=form>{BODY}</main>", "Title\nSome words here to read."),
+        (f"{BODY}<h2 id='social-impact'>Impact</h2><section id='related-work'><p>Others wrote of it.</section>", "Title\nSome words here to read.\nImpact\nOthers wrote of it."),
+        (f"{BODY}<div class='wide sidebar'>left</div><div class=ad-2>buy</div><div class='related'>more</div><nav>menu</nav>", "Title\nSome words here to read."),
+    ],
+)
+def test_html_listed_words(page, text):
+    """A listed word marks an element only as a whole name, and never a whole page or article."""
+    assert html_extract.Extractor(html_extract.Weights()).extract(page) == text
+
+
+def test_html_labels_outweigh_the_list(spark):
+    inside = "<div class=share><p>" + "many words to read " * 50 + "</p></div>"
+    pages = [(i, f"<nav>a menu to leave out</nav><article>{inside}</article><div class=social>follow us all</div>") for i in range(30)]
+    weights = html_extract.learn_weights(spark.createDataFrame(pages, "page_id bigint, html string"), "page_id", "html")
+    page = "<nav>a menu</nav><div class=share><p>Some words here to read.</p></div><div class=social>follow us</div>"
+    assert html_extract.Extractor(weights).extract(page) == "Some words here to read."
+
+
 def test_best_region():
     r = random.Random(4)
     for _ in range(200):
