@@ -42,6 +42,8 @@ LANDMARKS, ROUNDS = 240, 5
 SPAN, DECAY = 5, 0.7
 #: Letters of a word that are compared at a time; longer words are read in overlapping stretches.
 LONGEST, OVERLAP = 40, 10
+#: Parted letters stand in runs of at most so many.
+SHORT = 3
 CACHED = 300_000
 THRESHOLD = 0.7
 RIDGE = 0.0005
@@ -130,15 +132,28 @@ class Machine:
         return 1 / (1 + np.exp(np.clip(-self.slope * (highest - self.middle), -30, 30)))
 
 
+def parted(read: str) -> list[str]:
+    """A long stretch's runs of letters, and joined those in a row that the same sign parts: all, and the short ones."""
+    runs, signs = _WORD.findall(read), _WORD.split(read)[1:-1]
+    out, at = list(runs), 0
+    for _, same in itertools.groupby(signs):
+        n = sum(1 for _ in same)
+        row = runs[at : at + n + 1]
+        at += n
+        out.append("".join(row))
+        out += ["".join(part) for short, part in itertools.groupby(row, lambda w: len(w) <= SHORT) if short]
+    return out
+
+
 def units(chunk: str) -> list[str]:
     """The words of a lower-cased stretch without blanks: its runs of letters, and all its letters together."""
     if chunk.isalpha():
         found = [chunk]
     else:
         found = _WORD.findall(chunk)
-        if found and len(chunk) <= LONGEST:
+        if found:
             read = chunk.strip(".,;:!?\"'()").translate(_LOOKS)
-            found.append("".join(_WORD.findall(read)))
+            found += ["".join(_WORD.findall(read))] if len(chunk) <= LONGEST else parted(read)
     cut = []
     for w in dict.fromkeys(found):
         cut += [w] if len(w) <= LONGEST else [w[i : i + LONGEST] for i in range(0, len(w) - OVERLAP, LONGEST - OVERLAP)]

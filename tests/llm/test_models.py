@@ -148,6 +148,16 @@ def test_toxicity_false_alarms_on_little_data(made_up):
     assert (made_up(*[made_up_text(r, False) for _ in range(400)]) >= toxicity.THRESHOLD).mean() < 0.05
 
 
+def test_toxicity_reads_long_stretches(made_up):
+    """Parted and replaced letters are read in a stretch of any length."""
+    some = made_up_text(random.Random(4), False).split()
+    hidden = ["i-d-i-o-t", "st.u.pid", "1d1ot", "m.o.r.o.n", "wor-thless"]
+    joined = [sign.join([*some[:12], h, *some[12:]]) for h in hidden for sign in ("/", ",", "//")]
+    assert min(map(len, joined)) > toxicity.LONGEST
+    assert made_up(*joined, "-".join([*(w for w in some if len(w) > 3), "i-d-i-o-t"])).min() > 0.5
+    assert made_up(*(sign.join(some) for sign in "/,-.")).max() < 0.7
+
+
 def test_toxicity_learns_from_every_row():
     """Unrelated texts that share a word are rows of their own: a word of one clean text among them is no insult."""
     r = random.Random(3)
