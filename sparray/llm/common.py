@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,40 +16,61 @@ LOWER = UPPER.lower()
 #: Bytes of the white space class [\x20\x09-\x0D], as one string.
 BLANKS = " \t\n\x0b\x0c\r"
 
-_own_roots: dict[str, str] = {}
+_scratch: list[str] = []
+#: Rows of a few numbers each that are broadcast at most: some 40 MB.
+FITTING = 400_000
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master may do without: there the
+    driver's own temporary folder is set as that folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_roots:
-        _own_roots[app] = "file://" + tempfile.mkdtemp(prefix="sparray-")
-    return _own_roots[app]
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="sparray-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/sparray/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back; this cuts lineage and survives lost executors."""
+def materialize(df: DataFrame, name: str, *partition_by: str, keep: bool = False) -> DataFrame:
+    """Write df as a Parquet table in the shared folder and read it back; this cuts lineage and survives lost executors.
+    Inside a ``scratch`` the table goes at its end, unless it is to be kept."""
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = f"{_scratch[-1]}/{name}-{uuid.uuid4().hex}" if _scratch and not keep else new_path(spark, name)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is materialized inside is deleted at the end; only what was kept may be read after it."""
+    _scratch.append(new_path(spark, "scratch"))
+    try:
+        yield
+    finally:
+        _delete(spark, _scratch.pop())
+
+
 def remove(df: DataFrame) -> None:
     """Delete the files of a table that materialize() wrote and nobody reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for folder in {f.rsplit("/part-", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, folder)
+
+
+def fitting(df: DataFrame) -> DataFrame:
+    """A table of a few numbers a row, to be joined: broadcast if its counted rows are few enough, else merged."""
+    return F.broadcast(df) if df.limit(FITTING + 1).count() <= FITTING else df.hint("merge")
 
 
 _holder: list[tuple[str, Callable[[], None]]] = []

@@ -1,5 +1,6 @@
 """Line dedup, near duplicates, decontamination and packing against brute force, and on odd rows."""
 
+import functools
 import random
 import zlib
 from array import array
@@ -76,6 +77,8 @@ def test_near_duplicates_query(spark, sf, docs):
 def test_near_duplicates_made_up(spark, monkeypatch, words, similarity, tile):
     """Groups at the edge of the similarity, short texts, and components far larger than a tile."""
     monkeypatch.setattr(ngram_join, "TILE_TEXTS", tile)
+    monkeypatch.setattr(ngram_join, "TILE_MAPS", 2 * tile)
+    monkeypatch.setattr(ngram_join, "BATCH_KEYS", 2000)
     texts = []
     for k, (n, size, change) in enumerate([(40, 150, 4), (25, 30, 1), (20, 60, 2), (30, 12, 1), (10, 400, 12), (6, 3, 1), (6, 2, 1)]):
         texts += near_copies(n, size, change, k)
@@ -95,20 +98,62 @@ def test_near_duplicates_repeated_and_null_ids(spark):
     assert ngram_join.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_part_keys_meet_whenever_similar():
-    """Any two sets that are similar enough share a key: random pairs at the edge."""
+@pytest.mark.parametrize("fitting", [0, 1000])
+def test_components(spark, fitting):
+    """By stars and by union-find, against a plain search; the edges of a long path, a star and random ones."""
+    from sparray.llm.graph import components
+
+    r = random.Random(6)
+    edges = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(20)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(40)]
+    near = {}
+    for u, v in edges:
+        near.setdefault(u, set()).add(v)
+        near.setdefault(v, set()).add(u)
+    want = {}
+    for node in sorted(near):
+        todo = [] if node in want else [node]
+        while todo:
+            if (x := todo.pop()) not in want:
+                want[x] = node
+                todo += near[x]
+    found = components(spark.createDataFrame(edges, "u bigint, v bigint"), fitting)
+    assert sorted(rows(found, "u", "v")) == sorted((x, t) for x, t in want.items() if x != t)
+
+
+def test_keys_meet_whenever_similar():
+    """Any two sets that are similar enough hold as many of each other's keys as both need: random pairs at the edge."""
     import numpy as np
 
     r = np.random.default_rng(1)
     for similarity in ((90, 100), (80, 100)):
-        bands = ngram_join.Bands(similarity)
-        for _ in range(600):
+        bands, linked = ngram_join.Bands(similarity), 0
+        for _ in range(3000):
             n = int(r.integers(2, 300))
             a = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
             k = int(r.integers(0, n // 5 + 1))
             b = np.unique(np.concatenate((a[k:], r.integers(0, 2**64, int(r.integers(0, n // 8 + 1)), dtype=np.uint64))))
-            if len(b) and bands.linked(a, b) and not np.array_equal(a, b):
-                assert np.intersect1d(ngram_join.part_keys(a, bands), ngram_join.part_keys(b, bands)).size
+            if not len(b) or not bands.linked(a, b) or np.array_equal(a, b):
+                continue
+            linked += 1
+            for keys in (ngram_join.part_keys, lambda x, b: ngram_join.part_keys(x, b, fewest=2), ngram_join.shingle_keys):
+                spaces = [{s: (k, need) for s, k, need in keys(x, bands)} for x in (a, b)]
+                met = [s for s in spaces[0] if s in spaces[1] and all(np.intersect1d(spaces[0][s][0], spaces[1][s][0]).size >= x[s][1] for x in spaces)]
+                assert met
+        assert linked > 300
+
+
+def test_shared_passages_are_no_candidates(spark):
+    """Texts that share a third of their words with very many others go by counting, before any two are compared."""
+    r = random.Random(8)
+    passage = [f"p{i}" for i in range(40)]
+    texts = [" ".join([*(f"w{r.randrange(10**9)}" for _ in range(40)), *passage, *(f"w{r.randrange(10**9)}" for _ in range(40))]) for _ in range(300)]
+    texts += [f"{texts[0]} and a little more"]
+    bands = ngram_join.Bands((80, 100))
+    rows = ngram_join.keyed(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, raw string"), 5, lambda f: ngram_join.part_keys(f, bands), 256)
+    left = {tuple(x) for x in ngram_join.possible(ngram_join.counted(rows, 3)).collect()}
+    digests = [ngram_join.digest(ngram_join.shingles(t.encode(), 5)) for t in texts]
+    assert {digests[0], digests[-1]} <= left
+    assert len(left) < 30
 
 
 def test_decontamination_query(spark, sf, docs):
@@ -141,10 +186,15 @@ def test_decontamination_odd(spark, monkeypatch, block):
     assert decontam.decontaminate(df, bench.limit(0)).count() == len(texts)
 
 
-def tokens(text):
+@functools.cache
+def tokenizer():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(queries.vocabulary()).encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(queries.vocabulary())
+
+
+def tokens(text):
+    return tokenizer().encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("text", ["", " ", "It's a THING, isn't it...", "İstanbul ΑΣ. ﬁ é ́x", "<|endoftext|>x<|startoftext|>", "a\r\n\tb\x0bc\xa0d", "Ünïcode, straße. ŉa ǅ", "12a3b!!...,.", "日本語。한국어 🙂"])
@@ -154,6 +204,32 @@ def test_encoding(text):
     assert array("I", Encoder(queries.vocabulary()).encode([text])[0]).tolist() == tokens(text)
 
 
+def test_encoding_random_strings():
+    """Against the tokenizer: combining marks, special tokens, all white space, letters with odd lower cases, any signs."""
+    from sparray.llm.encoding import PROBES, Encoder
+
+    coder, r = Encoder(queries.vocabulary()), random.Random(11)
+    assert coder.plain
+    some = [*"aBzÉéßÿ.,;:!?'\"-_0 9²¼ªº", *" \t\n\x0b\x0c\r\x1c\x1f\x85\xa0\u1680\u2003\u2028\u200b\u3000", *"İıŉǅΣςÅΩKﬁ", *"\u0301\u0307\u0345\u200d\ufe0f", *"日한🙂🇩", "'s", "'LL", "<|endoftext|>", "<|StartOfText|>", "<|", "the", "İ,", "DİLİ.", "\x00", "\x7f"]
+    texts = ["".join(r.choice(some) for _ in range(r.randint(1, 14))) for _ in range(20000)]
+    texts += ["".join(chr(r.choice((r.randrange(0x250), r.randrange(0x3000), r.randrange(0x10000, 0x1FFFF)))) for _ in range(r.randint(1, 10))) for _ in range(10000)]
+    texts = [t for t in [*texts, *PROBES] if not any(0xD800 <= ord(c) < 0xE000 for c in t)]
+    want = [e.ids for e in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    got = coder.encode(texts)
+    assert [t for t, g, w in zip(texts, got, want, strict=True) if array("I", g).tolist() != w] == []
+    assert coder.lengths(texts) == list(map(len, want))
+
+
+def test_encoding_full_caches(monkeypatch):
+    from sparray.llm import encoding
+
+    monkeypatch.setattr(encoding, "CACHED", 30)
+    monkeypatch.setattr(encoding, "PIECES", 5)
+    coder = encoding.Encoder(queries.vocabulary())
+    texts = [" ".join(f"word{i * 7 % 61} Ω{i}" if i % 3 else f"é{i}, y{i}." for i in range(k, k + 40)) for k in range(30)]
+    assert [array("I", g).tolist() for g in coder.encode(texts)] == [tokens(t) for t in texts]
+
+
 def check_packing(texts, got, capacity):
     """Every document's pieces are all there, and sequences are gapless and within capacity."""
     want = []
@@ -209,6 +285,7 @@ def test_plan_is_best_fit_decreasing():
             else:
                 spaces.append(capacity - n)
         assert opened == len(spaces)
+        assert len(slots) <= packing.plan_bound(capacity)
         assert sum(s.last - s.first for s in slots) == len(lengths)
 
 
