@@ -13,10 +13,11 @@ packs into nothing. Other columns are not read.
 
 from __future__ import annotations
 
+import math
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -33,27 +34,43 @@ STEP = 64
 SALTS = 256
 SALTED = 100_000
 
-_PIECE = pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
-PIECES = "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint,ids:binary>>"
-
-
-def cut(ids: bytes, capacity: int, keep_ids: bool) -> list[dict]:
-    """The pieces of one document, given its ids with the end token."""
-    step = WIDTH * capacity
-    parts = [ids[i : i + step] for i in range(0, len(ids), step)]
-    return [{"piece": k, "start": k * capacity, "length": len(p) // WIDTH, "ids_crc32": zlib.crc32(p), "ids": p if keep_ids else None} for k, p in enumerate(parts)]
+#: A piece's fields; the last one only where ids are kept.
+FIELDS = {"piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "ids": pa.binary()}
+TYPES = {pa.int32(): "int", pa.int64(): "bigint", pa.binary(): "binary"}
+
+
+def cut(documents: Iterable[bytes], capacity: int, fields: list[str]) -> pa.ListArray:
+    """The pieces of documents, each given as its ids without the end token."""
+    step, ends = WIDTH * capacity, [0]
+    columns: dict[str, list] = {f: [] for f in FIELDS}
+    piece, start, length, crc, kept = columns.values()
+    for ids in documents:
+        ids += END
+        for k, at in enumerate(range(0, len(ids), step)):
+            part = ids[at : at + step] if len(ids) > step else ids
+            piece.append(k)
+            start.append(k * capacity)
+            length.append(len(part) // WIDTH)
+            crc.append(zlib.crc32(part))
+            if "ids" in fields:
+                kept.append(part)
+        ends.append(len(piece))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(columns[f], FIELDS[f]) for f in fields], fields))
 
 
 def pieces_of(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): every document's pieces."""
+    fields = [f for f in FIELDS if keep_ids or f != "ids"]
 
     def pieces(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = encoder(vocabulary)
         for batch in batches:
-            yield pa.array([cut(ids + END, capacity, keep_ids) for i in range(0, len(batch), STEP) for ids in coder.encode(batch.slice(i, STEP).to_pylist())], pa.list_(_PIECE))
+            yield cut((ids for i in range(0, len(batch), STEP) for ids in coder.encode(batch.slice(i, STEP).to_pylist())), capacity, fields)
 
-    found = docs.select(F.col(doc_id).alias("doc_id"), F.arrow_udf(pieces, PIECES)(F.col(text)).alias("p")).select("doc_id", F.inline_outer("p"))  # a plain inline would have a filter inferred that encodes once more
-    return found if keep_ids else found.drop("ids")
+    kind = "array<struct<" + ",".join(f"{f}:{TYPES[FIELDS[f]]}" for f in fields) + ">>"
+    found = F.arrow_udf(pieces, kind)(F.col(f"`{text}`"))
+    # a plain inline would have a filter inferred that encodes once more
+    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), found.alias("p")).select("doc_id", F.inline_outer("p"))
 
 
 @dataclass(frozen=True)
@@ -68,6 +85,16 @@ class Slots:
     offset: int
 
 
+def plan_bound(capacity: int = CAPACITY) -> int:
+    """The most rows that a plan has, whatever it packs. A row either uses up a length (at most ``capacity`` rows), or
+    uses up a group of sequences. A group begins as one of a length's new sequences, as those that a row has filled
+    further, or as the rest of those. A row that uses up a group begins one at most, with less space; rests come with a
+    used up length only. So there are at most two new lines of groups a length, each of them ending after as many rows as
+    pieces fit in one sequence, ``capacity / length``: in all 2 * capacity * (1 + 1/2 + ... + 1/capacity), and a row each
+    that uses up the length."""
+    return capacity + math.ceil(2 * capacity * (1 + math.log(capacity)))
+
+
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Slots], int]:
     """Best-fit decreasing over counts; the slots, and the number of sequences."""
     slots: list[Slots] = []
@@ -105,25 +132,29 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Slot
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """pieces (with a column ``length``) and for each its sequence_id and its offset there. pieces is written once."""
-    stored = materialize(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    """pieces (with a column ``length`` of 1 to ``capacity``) and for each its sequence_id and its offset there, all other
+    columns kept whatever their names. pieces is written once."""
+    columns = pieces.columns
+    # columns go by position, so that no name clashes
+    named = pieces.toDF(*[f"c{i}" for i in range(len(columns))]).withColumn("len", F.col(f"c{[c.lower() for c in columns].index('length')}").cast("bigint"))
+    stored = materialize(named.withColumn("row", F.monotonically_increasing_id()), "pieces")
     spark = stored.sparkSession
-    histogram = {r["length"]: r["n"] for r in stored.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
+    histogram = {r["len"]: r["n"] for r in stored.groupBy("len").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     slots, _ = plan(histogram, capacity)
     salts = max(SALTS, sum(histogram.values()) // SALTED)
     dealt = stored.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)))
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    parts = dealt.groupBy("length", "salt").agg(F.count("*").alias("n")).select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    ranked = dealt.withColumn("within", F.row_number().over(Window.partitionBy("length", "salt").orderBy("row")))
-    ranks = ranked.join(parts, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("within") - 1)
+    before = Window.partitionBy("len").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy("len", "salt").agg(F.count("*").alias("n")).select("len", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    ranked = dealt.withColumn("within", F.row_number().over(Window.partitionBy("len", "salt").orderBy("row")))
+    ranks = ranked.join(parts, ["len", "salt"]).withColumn("rank", F.col("before") + F.col("within") - 1)
     planned = spark.createDataFrame([(s.length, s.first, s.last, s.sequence, s.each, s.offset) for s in slots], "length bigint, first bigint, last bigint, sequence bigint, each bigint, base bigint")
     # the plan's size follows the capacity, not the data: see plan_bound()
-    placed = ranks.join(F.broadcast(planned), (ranks["length"] == planned["length"]) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last")))
+    placed = ranks.join(F.broadcast(planned), (F.col("len") == F.col("length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last")))
     within = F.col("rank") - F.col("first")
     return placed.select(
-        *[ranks[c] for c in pieces.columns],
+        *[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)],
         (F.col("sequence") + F.floor(within / F.col("each"))).alias("sequence_id"),
-        (F.col("base") + F.pmod(within, F.col("each")) * ranks["length"]).alias("offset"),
+        (F.col("base") + F.pmod(within, F.col("each")) * F.col("len")).alias("offset"),
     )
 
 

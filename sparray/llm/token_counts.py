@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .encoding import WIDTH, encoder
+from .encoding import encoder
 
 #: Lengths in one stretch.
 STRETCH = 1024
@@ -30,14 +30,14 @@ def token_length(text: Column, vocabulary: str) -> Column:
     def lengths(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         coder = encoder(vocabulary)
         for batch in batches:
-            yield pa.array([len(ids) // WIDTH for i in range(0, len(batch), STEP) for ids in coder.encode(batch.slice(i, STEP).to_pylist())], pa.int64())
+            yield pa.array([n for i in range(0, len(batch), STEP) for n in coder.lengths(batch.slice(i, STEP).to_pylist())], pa.int64())
 
     return F.arrow_udf(lengths, "bigint")(text)
 
 
 def length_histogram(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     """(length, n_docs): how many texts have each encoded length."""
-    return docs.select(token_length(F.col(text), vocabulary).alias("length")).groupBy("length").agg(F.count("*").alias("n_docs"))
+    return docs.select(token_length(F.col(f"`{text}`"), vocabulary).alias("length")).groupBy("length").agg(F.count("*").alias("n_docs"))
 
 
 def suffix_sums(histogram: DataFrame) -> DataFrame:
