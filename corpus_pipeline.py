@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a DataFrame, which is written
 and reread before the next stage. All but the last return the columns of documents; the last returns the packed pieces.
-A document without an id passes the stages by id (line dedup and near duplicates) as it is.
+A document without an id passes the stages by id (line dedup and near duplicates) as it is. Null, empty and very long
+texts, repeated rows, empty tables and further columns of any name pass every stage as the operators' docstrings say: a
+null or empty text is not toxic, is one empty line, has no near duplicate, is not contaminated, and packs as the end token
+alone; repeated rows are scored each, are one document for line dedup, near duplicates (all rows of an id stay or go) and
+are packed each; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparray.llm import decontam, line_dedup, ngram_join, packing, queries, toxicity
-from sparray.llm.common import materialize, table
+from sparray.llm.common import materialize, quoted, table
 
 #: Near duplicates: five words a shingle, a similarity of 0.8 or more.
 NEAR_WORDS, NEAR_SIMILARITY = 5, (80, 100)
@@ -21,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the toxicity threshold stay. All labels may be learnt from."""
     score = decontam.unused(docs.columns, "score")
     scored = docs.withColumn(score, toxicity.toxicity(docs, table(spark, sf_dir, "labels")))
-    return scored.where(F.col(score) < toxicity.THRESHOLD).select(*docs.columns)
+    return scored.where(F.col(score) < toxicity.THRESHOLD).select(*map(quoted, docs.columns))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,14 +34,14 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     kept = line_dedup.dedup_lines(docs, n_lines=before, n_dropped=after).where(F.col(before) > F.col(after))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(F.col(after) > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return kept.select(*docs.columns)
+    return kept.select(*map(quoted, docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates the document with the smallest id stays."""
     classes = ngram_join.near_duplicates(docs, words=NEAR_WORDS, similarity=NEAR_SIMILARITY)
     gone = classes.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*map(quoted, docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -91,5 +91,22 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def quoted(name: str) -> Column:
+    """The column of that name, whatever signs it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def numbered(df: DataFrame, *names: str, without: tuple[str, ...] = ()) -> tuple[DataFrame, list[str], list[str]]:
+    """df with its columns called c0, c1, ..., so that no name clashes with another or needs quoting; what the columns
+    ``names`` are called now; and the old names. Columns named as one of ``without``, which a result adds, are left out."""
+    taken = {c.lower() for c in without} - {n.lower() for n in names}
+    out = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    kept = [i for i, c in enumerate(df.columns) if c.lower() not in taken]
+    old = [df.columns[i] for i in kept]
+    out = out.select(*[F.col(f"c{i}").alias(f"c{k}") for k, i in enumerate(kept)])
+    at = lambda n: old.index(n) if n in old else [c.lower() for c in old].index(n.lower())
+    return out, [f"c{at(n)}" for n in names], old
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

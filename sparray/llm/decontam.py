@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, quoted
 
 WINDOW = 13
 #: Bytes of item text in one broadcast block.
@@ -147,7 +147,7 @@ def _strings(array: pa.Array, size: int = 256) -> Iterator[str | None]:
 
 def item_blocks(benchmark: DataFrame, item_id: str, item_text: str) -> list[list[tuple[object, str | None]]]:
     """The items on the driver in blocks of about BLOCK_BYTES; one block at a time where there are several."""
-    items = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t"))
+    items = benchmark.select(quoted(item_id).alias("i"), quoted(item_text).alias("t"))
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n = -(-total // BLOCK_BYTES)
     if n <= 1:
@@ -160,7 +160,7 @@ def with_marks(docs: DataFrame, benchmark: DataFrame, marks: str, text: str = "t
     """docs with a column ``marks``: n_words, the word ranges inside hits, the ids of the items hit, as sorted strings."""
     spark = docs.sparkSession
     for block in item_blocks(benchmark, item_id, item_text):
-        found = _marker(spark, block, window)(F.col(text))
+        found = _marker(spark, block, window)(quoted(text))
         if marks not in docs.columns:
             docs = docs.withColumn(marks, found)
         else:
@@ -197,9 +197,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", rem
     marks = unused(columns, "marks")
     marked = with_marks(docs, benchmark, marks, text, **names)
     if remove == "documents":
-        return marked.where(~contaminated(marks)).select(*columns)
-    cut = F.arrow_udf(_cut, "string")(F.col(text), F.col(marks)["ranges"])
-    return marked.withColumn(text, F.when(F.size(F.col(marks)["ranges"]) > 0, cut).otherwise(F.col(text))).select(*columns)
+        return marked.where(~contaminated(marks)).select(*map(quoted, columns))
+    cut = F.arrow_udf(_cut, "string")(quoted(text), F.col(marks)["ranges"])
+    return marked.withColumn(text, F.when(F.size(F.col(marks)["ranges"]) > 0, cut).otherwise(quoted(text))).select(*map(quoted, columns))
 
 
 def _cut(texts: pa.Array, ranges: pa.Array) -> pa.Array:

@@ -8,7 +8,8 @@ holder, so the join that marks lines is on key and document together and no freq
 
 Defined results: a null or empty text is one empty line; lines whose key has fewer than ``min_chars`` code points always
 stay; rows with one id are one document and are all kept or cut alike; rows with a null id pass whole and hold no line
-for others; an empty table gives an empty result.
+for others; an empty table gives an empty result. Other columns are kept whatever their names; a text of very many lines
+is one row a line, and only what it loses comes back to it.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, materialize, remove
+from .common import BLANKS, ascii_lower, materialize, numbered, remove
 
 MIN_CHARS = 10
 FANOUT = 2
@@ -101,13 +102,14 @@ def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_lines: str = "n_lines", n_dropped: str = "n_dropped", **parameters) -> DataFrame:
-    """docs with repeated lines cut from the text, all columns kept, and the columns n_lines and n_dropped added."""
-    gone = dropped_lines(docs, doc_id, text, **parameters).groupBy("doc", "version").agg(F.collect_set("pos").alias("gone"))
-    columns = [F.col(f"d.`{c}`") for c in docs.columns if c != text]
-    joined = docs.alias("d").join(gone.alias("g"), (F.col(f"d.`{doc_id}`") == F.col("g.doc")) & (F.xxhash64(F.col(f"d.`{text}`")) == F.col("g.version")), "left")
-    split = joined.select(*columns, F.col(f"d.`{text}`").alias(text), F.col("g.gone").alias("__gone"), lines_of(F.col(f"d.`{text}`")).alias("__lines"))
-    numbers = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.coalesce("__gone", F.array().cast("array<int>")))
-    kept = F.concat_ws("\n", F.transform(numbers, lambda i: F.col("__lines")[i]))
-    others = [F.col(c) for c in docs.columns]
-    out = split.withColumn("__text", F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept))
-    return out.select(*[F.col("__text").alias(text) if c == text else o for c, o in zip(docs.columns, others, strict=True)], F.size("__lines").cast("bigint").alias(n_lines), F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint").alias(n_dropped))
+    """docs with repeated lines cut from the text, all columns kept, and the columns n_lines and n_dropped added, in place
+    of columns of these names."""
+    own, (doc_id, text), names = numbered(docs, doc_id, text, without=(n_lines, n_dropped))
+    gone = dropped_lines(own, doc_id, text, **parameters).groupBy("doc", "version").agg(F.collect_set("pos").alias("gone"))
+    joined = own.join(gone, (F.col(doc_id) == F.col("doc")) & (F.xxhash64(text) == F.col("version")), "left")
+    split = joined.select(*own.columns, "gone", lines_of(F.col(text)).alias("lines"))
+    numbers = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("gone", F.array().cast("array<int>")))
+    kept = F.concat_ws("\n", F.transform(numbers, lambda i: F.col("lines")[i]))
+    cut = F.when(F.col("gone").isNull(), F.col(text)).otherwise(kept).alias(text)
+    counts = [F.size("lines").cast("bigint"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint")]
+    return split.select(*[cut if c == text else F.col(c) for c in own.columns], *counts).toDF(*names, n_lines, n_dropped)

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FITTING, claim, fitting, materialize, scratch
+from .common import FITTING, claim, fitting, materialize, quoted, scratch
 from .graph import components
 
 WORDS = 3
@@ -463,7 +463,7 @@ def grouped(links: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """(doc_id, n_shingles, component_id): per row its set size and the smallest document reachable by links."""
-    plain = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("raw"))
+    plain = docs.select(quoted(doc_id).cast("bigint").alias("doc_id"), quoted(text).alias("raw"))
     with scratch(docs.sparkSession):
         sized, classes = _classes(plain, words, Bands(similarity))
     out = sized.join(classes.hint("merge"), "doc_id", "left")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, numbered, quoted
 from .encoding import WIDTH, encoder
 
 CAPACITY = 2048
@@ -68,9 +68,9 @@ def pieces_of(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: st
             yield cut((ids for i in range(0, len(batch), STEP) for ids in coder.encode(batch.slice(i, STEP).to_pylist())), capacity, fields)
 
     kind = "array<struct<" + ",".join(f"{f}:{TYPES[FIELDS[f]]}" for f in fields) + ">>"
-    found = F.arrow_udf(pieces, kind)(F.col(f"`{text}`"))
+    found = F.arrow_udf(pieces, kind)(quoted(text))
     # a plain inline would have a filter inferred that encodes once more
-    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), found.alias("p")).select("doc_id", F.inline_outer("p"))
+    return docs.select(quoted(doc_id).alias("doc_id"), found.alias("p")).select("doc_id", F.inline_outer("p"))
 
 
 @dataclass(frozen=True)
@@ -132,11 +132,10 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Slot
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """pieces (with a column ``length`` of 1 to ``capacity``) and for each its sequence_id and its offset there, all other
-    columns kept whatever their names. pieces is written once."""
-    columns = pieces.columns
-    # columns go by position, so that no name clashes
-    named = pieces.toDF(*[f"c{i}" for i in range(len(columns))]).withColumn("len", F.col(f"c{[c.lower() for c in columns].index('length')}").cast("bigint"))
+    """pieces (with a column ``length`` of 1 to ``capacity``) and for each its sequence_id and its offset there, in place of
+    columns of these names; all others are kept whatever their names. pieces is written once."""
+    named, (length,), columns = numbered(pieces, "length", without=("sequence_id", "offset"))
+    named = named.withColumn("len", F.col(length).cast("bigint"))
     stored = materialize(named.withColumn("row", F.monotonically_increasing_id()), "pieces")
     spark = stored.sparkSession
     histogram = {r["len"]: r["n"] for r in stored.groupBy("len").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
@@ -152,10 +151,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     placed = ranks.join(F.broadcast(planned), (F.col("len") == F.col("length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last")))
     within = F.col("rank") - F.col("first")
     return placed.select(
-        *[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)],
+        *[f"c{i}" for i in range(len(columns))],
         (F.col("sequence") + F.floor(within / F.col("each"))).alias("sequence_id"),
         (F.col("base") + F.pmod(within, F.col("each")) * F.col("len")).alias("offset"),
-    )
+    ).toDF(*columns, "sequence_id", "offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

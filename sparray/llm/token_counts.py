@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import quoted
 from .encoding import encoder
 
 #: Lengths in one stretch.
@@ -37,7 +38,7 @@ def token_length(text: Column, vocabulary: str) -> Column:
 
 def length_histogram(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     """(length, n_docs): how many texts have each encoded length."""
-    return docs.select(token_length(F.col(f"`{text}`"), vocabulary).alias("length")).groupBy("length").agg(F.count("*").alias("n_docs"))
+    return docs.select(token_length(quoted(text), vocabulary).alias("length")).groupBy("length").agg(F.count("*").alias("n_docs"))
 
 
 def suffix_sums(histogram: DataFrame) -> DataFrame:

@@ -6,27 +6,33 @@ value with a letter put in, left out or repeated, and a stem with any ending res
 machine is trained on the kernel values to LANDMARKS words (Nystroem features). Kernel and machine together are linear
 in the triples, so scoring a word is one weighted sum over its triples.
 
-Labels belong to texts; which words earn them is found in rounds: at first each toxic text is
-represented by that of its words, held by no clean training text, which the most toxic texts hold; then by its
-best-scoring word; words of very many toxic texts and no clean one are positives throughout, while clean texts give their best-scoring words as negatives. A text scores as its highest word does, put through a logistic curve fitted on the training texts.
+Labels belong to texts; which words earn them is found in rounds: at first each toxic text is represented by that of its
+words, much rarer in clean texts, which the most toxic texts hold; then by its best-scoring word; such words of very many
+toxic texts are positives throughout, while clean texts give their best-scoring words as negatives. A text's score is a
+logistic curve over its highest words' values, its number of words, and the log odds that training texts gave to the words
+among them that they hold often; so one word that resembles an insult by chance weighs less than several. The curve is fitted on training texts whose words are valued by a machine trained on the
+other half of them.
 Single letters in a row, and letters parted by signs, count as one word too; digits and signs among letters are read as
-the letters they look like.
+the letters they look like. Letters beyond the Latin ones share codes by their code point.
 
-The machine is fitted on the driver on a bounded sample of labelled rows (TOXIC, CLEAN, TRAIN_CHARS); every whole text is
-scored on the executors.
+The machine is fitted on the driver on a bounded sample of labelled rows (TOXIC, CLEAN, TRAIN_CHARS), whose sets of words
+are taken on the executors; every whole text is scored on the executors.
 
 Defined results: null, empty and wordless texts score as the least toxic; rows without an id are scored too and never
-train; repeated rows are scored each; without labels of both kinds every score is 0; an empty table gives an empty result.
+train; rows of one id train once, with the least text and the highest label; labels other than 0 and 1 don't train;
+repeated rows are scored each; without labels of both kinds every score is 0; an empty table gives an empty result. Texts
+of any length are scored whole; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import heapq
 import itertools
-import operator
+import math
 import re
 from collections import Counter
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +40,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import claim
+from .common import claim, quoted
 
 #: Labelled texts that the machine is fitted on, at most of each kind, and the longest among them.
 TOXIC, CLEAN, TRAIN_CHARS = 2500, 5000, 30_000
-LANDMARKS, ROUNDS = 240, 5
+LANDMARKS, ROUNDS, HALF_ROUNDS = 240, 5, 3
 SPAN, DECAY = 5, 0.7
 #: Letters of a word that are compared at a time; longer words are read in overlapping stretches.
 LONGEST, OVERLAP = 40, 10
@@ -46,11 +52,19 @@ LONGEST, OVERLAP = 40, 10
 SHORT = 3
 CACHED = 300_000
 THRESHOLD = 0.7
+#: The value where a text has no word.
+LOW = -2.0
 RIDGE = 0.0005
 #: The positives that are also trained on with a letter put in or doubled.
 CHANGED = 60
-#: A word of this share of the toxic texts, and of no clean one, is a positive throughout.
+#: Such a word of this share of the toxic texts is a positive throughout.
 FREQUENT = 0.02
+#: How many times more often toxic texts hold a word that can earn them their label than clean ones do.
+RARER = 10
+#: Toxic texts that hold a word whose own odds are used.
+OFTEN = 5
+#: The highest values of a text's words that its score looks at.
+TOP = 3
 #: A word that is the witness of very many texts counts as this many.
 MOST = 20
 
@@ -64,7 +78,7 @@ _TABLE = _BASE**3
 
 
 def letter(c: str) -> int:
-    return _LETTERS.get(c) or 59 + ord(c) % 4
+    return _LETTERS.get(c) or 27 + ord(c) % 36
 
 
 def triples(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,12 +127,13 @@ def kernel(words: Sequence[str], landmarks: Sequence[str]) -> np.ndarray:
 
 @dataclass
 class Machine:
-    """weights[triple] of the collapsed machine, its bias, and the logistic curve from a text's highest word to a score."""
+    """weights[triple] of the collapsed machine, its bias, words known from training with the log odds of holding them, and
+    the logistic curve from a text's features to a score."""
 
     weights: np.ndarray
     bias: float
-    slope: float = 1.0
-    middle: float = 0.0
+    known: dict[str, float] = field(default_factory=dict)
+    curve: np.ndarray = field(default_factory=lambda: np.array([0.0] * (TOP + 2) + [-30.0]))
 
     def words(self, words: Sequence[str]) -> np.ndarray:
         out = []
@@ -128,8 +143,16 @@ class Machine:
             out.append(np.bincount(word, self.weights[triple] * weight, minlength=len(some)) + self.bias)
         return np.concatenate(out) if out else np.empty(0)
 
-    def score(self, highest: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(np.clip(-self.slope * (highest - self.middle), -30, 30)))
+    def score(self, features: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(np.clip(-(features @ self.curve[:-1] + self.curve[-1]), -30, 30)))
+
+
+def features(values: Iterable[float], odds: float) -> list[float]:
+    """A text's features, given the values of its words and the highest log odds of those known: the TOP highest values,
+    each once, how many there are, and the odds."""
+    once = set(values)
+    top = heapq.nlargest(TOP, once)
+    return [*top, *[LOW] * (TOP - len(top)), math.log1p(len(once)), odds]
 
 
 def parted(read: str) -> list[str]:
@@ -206,76 +229,102 @@ def fit_machine(words: list[str], y: np.ndarray, counts: np.ndarray, landmarks:
     return Machine(np.bincount(triple, weight * alpha[mark], minlength=_TABLE), float(w[-1]))
 
 
+def words_of(text: str | None) -> list[str]:
+    """A text's words, each once, in order of the alphabet."""
+    return sorted({u for c in set(chunks(text or "")) for u in units(c)})
+
+
 def train(texts: Sequence[tuple[str | None, int]]) -> Machine:
     """A machine from (text, label) rows; every row with words counts, copies too."""
+    return train_words((words_of(t), y) for t, y in texts)
+
+
+def train_words(rows: Iterable[tuple[Sequence[str], int]]) -> Machine:
+    """A machine from (the text's words, label) rows, the same in whatever order they come."""
     number: dict[str, int] = {}
-    held: list[tuple[np.ndarray, int]] = []  # each row's words by number: far smaller than sets of strings
-    for text, label in texts:
-        words = {u for c in set(chunks(text or "")) for u in units(c)}
-        if words:
-            held.append((np.array([number.setdefault(w, len(number)) for w in sorted(words)], dtype=np.int32), label))
-    nothing = Machine(np.zeros(_TABLE), -1.0, 1.0, 1e9)
-    label = np.array([y for _, y in held])
-    toxic = int((label == 1).sum())
-    if not toxic or toxic == len(held):
-        return nothing
+    # each row's words by number: far smaller than sets of strings
+    held = [(np.array([number.setdefault(w, len(number)) for w in words], dtype=np.int32), label) for words, label in rows if len(words)]
     every = sorted(number)
     order = np.empty(len(every), dtype=np.int32)
     order[[number[w] for w in every]] = np.arange(len(every), dtype=np.int32)
-    own = [order[o] for o, _ in held]
-    del held, number
+    del number
+    held = sorted(((np.sort(order[o]), y) for o, y in held), key=lambda h: (h[1], h[0].tobytes()))
+    own, label = [o for o, _ in held], np.array([y for _, y in held])
+    del held
+    if not (label == 1).any() or (label == 1).all():
+        return Machine(np.zeros(_TABLE), -1.0)
+    machine = rounds(every, own, label)
+    x = np.empty((len(own), TOP + 2))
+    half = np.arange(len(own)) % 2
+    for h in (0, 1):
+        # the words of each half are valued by a machine that hasn't seen it, if that half has both labels
+        seen = np.flatnonzero(half != h)
+        some = rounds(every, [own[i] for i in seen], label[seen], HALF_ROUNDS) if len(set(label[seen])) == 2 else machine
+        value = some.words(every)
+        odds = np.zeros(len(every))
+        odds[np.searchsorted(every, list(some.known))] = list(some.known.values())
+        for i in np.flatnonzero(half == h):
+            x[i] = features(value[own[i]].tolist(), float(odds[own[i]].max()))
+    machine.curve = logistic(x, label)
+    return machine
+
+
+def rounds(every: list[str], own: list[np.ndarray], label: np.ndarray, turns: int = ROUNDS) -> Machine:
+    """The machine of some rows, given as numbers of words in ``every``, which is sorted."""
     sizes = np.zeros((2, len(every)), dtype=np.int64)
     for o, y in zip(own, label, strict=True):
         sizes[int(y), o] += 1
-    in_clean, in_toxic = ({every[i]: int(n[i]) for i in np.flatnonzero(n)} for n in sizes)
-    common = [w for w, _ in sorted(in_clean.items(), key=lambda x: (-x[1], x[0]))]
-    spread = sorted(in_clean, key=lambda w: xxhash.xxh3_64_intdigest(w))
-    negative = common[:1500] + spread[:3000]
+    clean, toxic = int((label == 0).sum()), int((label == 1).sum())
+    share = np.stack((sizes[0] / clean, sizes[1] / toxic))
+    telling = (sizes[1] > 0) & (share[1] >= RARER * share[0])
+    negative = np.flatnonzero(sizes[0] > 0)
+    common = negative[np.argsort(-sizes[0][negative], kind="stable")[:1500]]
+    mixed = np.fromiter((xxhash.xxh3_64_intdigest(every[i]) for i in negative), dtype=np.uint64, count=len(negative))
+    spread = negative[np.argsort(mixed, kind="stable")[:3000]]
+    negative = [every[i] for i in (*common, *spread)]
+    frequent = Counter({every[i]: int(sizes[1, i]) for i in np.flatnonzero(telling & (sizes[1] >= max(3, FREQUENT * toxic)))})
+    value = np.where(telling, sizes[1] - sizes[0] * toxic / clean, 0.0)
     hard: list[str] = []
-    only_toxic = sizes[0] == 0
-    value = np.where(only_toxic, sizes[1], 0).astype(float)
-    often = max(3, FREQUENT * toxic)
-    frequent = Counter({w: n for w, n in in_toxic.items() if n >= often and w not in in_clean})
-    machine = nothing
-    for turn in range(ROUNDS + 1):
-        best = [int(o[(value[o] + 1e-9 * only_toxic[o]).argmax()]) for o in own]
-        if turn == ROUNDS:
-            break
-        witnesses = Counter(every[b] for b, y in zip(best, label, strict=True) if y and only_toxic[b])
+    machine = Machine(np.zeros(_TABLE), -1.0)
+    for turn in range(turns):
+        best = [int(o[(value[o] + 1e-9 * telling[o]).argmax()]) for o in own]
+        witnesses = Counter(every[b] for b, y in zip(best, label, strict=True) if y and telling[b])
         witnesses |= frequent
         if not witnesses:
-            return nothing
+            return machine
         if turn:
-            worst = {every[b]: value[b] for b, y in zip(best, label, strict=True) if not y}
+            worst = {every[b]: value[b] for b, y in zip(best, label, strict=True) if not y and every[b] not in witnesses}
             hard = list(dict.fromkeys([*hard, *sorted(worst, key=lambda w: (-worst[w], w))[:800]]))
         positive = [w for w, _ in sorted(witnesses.items(), key=lambda x: (-x[1], x[0]))]
-        other = list(dict.fromkeys([*negative, *hard]))
-        marks = list(dict.fromkeys(spaced(positive, LANDMARKS // 2) + spaced(hard, LANDMARKS // 4) + spaced(negative, LANDMARKS // 4)))
-        changed = [v for w in positive[:CHANGED] for v in variants(w) if v not in in_clean]
+        other = [w for w in dict.fromkeys([*negative, *hard]) if w not in witnesses]
+        marks = list(dict.fromkeys(spaced(positive, LANDMARKS // 2) + spaced([w for w in hard if w not in witnesses], LANDMARKS // 4) + spaced(negative, LANDMARKS // 4)))
+        known = set(other)
+        changed = [v for w in positive[:CHANGED] for v in variants(w) if v not in known]
         counts = np.array([min(witnesses[w], MOST) for w in positive] + [MOST // 4] * len(changed) + [1] * len(other), dtype=float)
         y = np.array([1.0] * (len(positive) + len(changed)) + [-1.0] * len(other))
         machine = fit_machine(positive + changed + other, y, counts, marks)
-        value = machine.words(every)
-    highest = np.array([value[b] for b in best])
-    machine.slope, machine.middle = curve(highest, label)
+        if turn < turns - 1:
+            value = machine.words(every)
+    odds = np.log((sizes[1] + 0.5) / (toxic + 1)) - np.log((sizes[0] + 0.5) / (clean + 1))
+    machine.known = {every[i]: float(odds[i]) for i in np.flatnonzero(telling & (sizes[1] >= OFTEN))}
     return machine
 
 
-def curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """The logistic curve of labels over x, with the usual smoothed targets."""
-    n1, n0 = y.sum(), (1 - y).sum()
-    target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    weight = np.where(y == 1, 0.5 / n1, 0.5 / n0)
-    a, b = 1.0, 0.0
+def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights and offset of a logistic curve of labels over features, by Newton steps with a small ridge. Both labels
+    weigh alike."""
+    z = np.hstack((x, np.ones((len(x), 1))))
+    weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
+    ridge = np.array([1e-4] * x.shape[1] + [1e-8])
+    w = np.zeros(z.shape[1])
     for _ in range(100):
-        p = 1 / (1 + np.exp(np.clip(-(a * x + b), -30, 30)))
-        g = weight * (p - target)
+        p = 1 / (1 + np.exp(np.clip(-(z @ w), -30, 30)))
         h = np.maximum(weight * p * (1 - p), 1e-12)
-        hessian = np.array([[(h * x * x).sum() + 1e-4, (h * x).sum()], [(h * x).sum(), h.sum() + 1e-6]])
-        step = np.linalg.solve(hessian, np.array([(g * x).sum() + 1e-4 * a, g.sum()]))
-        step *= min(1.0, 2.0 / max(1e-9, np.abs(step).max()))
-        a, b = a - step[0], b - step[1]
-    return (float(a), float(-b / a)) if a > 1e-6 else (1.0, 1e9)
+        step = np.linalg.solve((z * h[:, None]).T @ z + np.diag(ridge), z.T @ (weight * (p - y)) + ridge * w)
+        w = w - step * min(1.0, 2.0 / max(1e-9, np.abs(step).max()))
+        if np.abs(step).max() < 1e-7:
+            break
+    return w
 
 
 class Scorer:
@@ -283,41 +332,50 @@ class Scorer:
 
     def __init__(self, machine: Machine):
         self.machine = machine
-        self.known: dict[str, float] = {}
-
-    def highest(self, texts: Sequence[str | None]) -> np.ndarray:
-        parts = [chunks(t or "") for t in texts]
-        found = [list(map(self.known.get, p)) for p in parts]
-        new = sorted({c for p, f in zip(parts, found, strict=True) if None in f for c in itertools.compress(p, map(operator.is_, f, itertools.repeat(None)))})
+        self.values: dict[str, float] = {}
+        self.odds: dict[str, float] = {}  # of the few stretches that hold a known word
+
+    def features(self, texts: Sequence[str | None]) -> np.ndarray:
+        parts = [set(chunks(t or "")) for t in texts]
+        new = set().union(*parts).difference(self.values)
+        if len(self.values) + len(new) > CACHED:
+            self.values.clear()
+            self.odds.clear()
+            new = set().union(*parts)
         if new:
-            if len(self.known) + len(new) > CACHED:
-                self.known.clear()
-                new = sorted(set(itertools.chain(*parts)))
+            new = sorted(new)
             split = [units(c) for c in new]
             words = sorted(set(itertools.chain(*split)))
             value = dict(zip(words, self.machine.words(words).tolist(), strict=True))
-            self.known.update((c, max((value[u] for u in us), default=LOW)) for c, us in zip(new, split, strict=True))
-            found = [list(map(self.known.__getitem__, p)) if None in f else f for p, f in zip(parts, found, strict=True)]
-        return np.array([max(f, default=LOW) for f in found])
+            self.values.update((c, max((value[u] for u in us), default=LOW)) for c, us in zip(new, split, strict=True))
+            known = self.machine.known
+            self.odds.update((c, max(known.get(u, 0.0) for u in us)) for c, us in zip(new, split, strict=True) if not known.keys().isdisjoint(us))
+        return np.array([features(map(self.values.__getitem__, p), max((self.odds[c] for c in p.intersection(self.odds)), default=0.0)) for p in parts]).reshape(len(parts), TOP + 2)
 
+    def scores(self, texts: Sequence[str | None]) -> np.ndarray:
+        return self.machine.score(self.features(texts))
 
-#: The value of a text without words.
-LOW = -10.0
 
-
-def training_rows(docs: DataFrame, labels: DataFrame, may_train: Column, doc_id: str, text: str, label: str, label_id: str) -> list[tuple[str | None, int]]:
-    """The bounded sample: of each label, the rows with the least hashes of their id."""
-    ids = labels.select(F.col(label_id).alias("id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1)).groupBy("id").agg(F.max("y").alias("y")).where(may_train)
+def training_rows(docs: DataFrame, labels: DataFrame, may_train: Column, doc_id: str, text: str, label: str, label_id: str) -> Iterator[tuple[list[str], int]]:
+    """The bounded sample, as sets of words: of each label, the rows with the least hashes of their id."""
+    ids = labels.select(quoted(label_id).alias("id"), quoted(label).cast("int").alias("y")).where(F.col("y").isin(0, 1)).groupBy("id").agg(F.max("y").alias("y")).where(may_train)
     some = [ids.where(F.col("y") == y).orderBy(F.xxhash64("id")).limit(n) for y, n in ((1, TOXIC), (0, CLEAN))]
     chosen = F.broadcast(some[0].union(some[1]))  # at most TOXIC + CLEAN rows
-    texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).where(F.length("t") <= TRAIN_CHARS)
-    return sorted((r["t"], r["y"]) for r in texts.join(chosen, "id").dropDuplicates(["id"]).select("t", "y").collect())
+    texts = docs.select(quoted(doc_id).alias("id"), quoted(text).alias("t")).where(F.length("t") <= TRAIN_CHARS)
+    found = texts.join(chosen, "id").groupBy("id").agg(F.min(F.struct("t", "y")).alias("r")).select("r.t", "r.y")
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([" ".join(words_of(t)) for t in batch.column(0).to_pylist()], pa.string()), batch.column(1)], names=["words", "y"])
+
+    for r in found.mapInArrow(split, "words string, y int").toLocalIterator():
+        yield r["words"].split(), r["y"]
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, may_train: Column | None = None, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", label_id: str = "doc_id") -> Column:
     """The score of each whole text. may_train: which ids (a column ``id``) the labels may be learnt from."""
     rows = training_rows(docs, labels, F.lit(True) if may_train is None else may_train, doc_id, text, label, label_id)
-    sent = docs.sparkSession.sparkContext.broadcast(train(rows))
+    sent = docs.sparkSession.sparkContext.broadcast(train_words(rows))
 
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         claim("toxicity", _scorers.clear)
@@ -327,9 +385,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, may_train: Column | None = None
             _scorers[id(machine)] = Scorer(machine)  # which holds the machine, so the number stays its own
         scorer = _scorers[id(machine)]
         for batch in batches:
-            yield pa.array(np.concatenate([scorer.machine.score(scorer.highest(batch.slice(i, 128).to_pylist())) for i in range(0, max(1, len(batch)), 128)]), pa.float64())
+            yield pa.array(np.concatenate([scorer.scores(batch.slice(i, 128).to_pylist()) for i in range(0, max(1, len(batch)), 128)]), pa.float64())
 
-    return F.arrow_udf(score, "double")(F.col(text))
+    return F.arrow_udf(score, "double")(quoted(text))
 
 
 #: The scorer of this worker by its machine's number; one at a time.
