@@ -6,8 +6,10 @@ ANSI setting: integers wrap without overflowing on the way, divisions by zero ar
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from decimal import Decimal
+from fractions import Fraction
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,10 +57,26 @@ def quantize_float(v: Column, exponent: int, mantissa: int, strict: bool = False
     return F.when(F.isnan(v), double(INF if strict else NAN)).otherwise(out)
 
 
+def quantized(v: float, exponent: int, mantissa: int) -> float:
+    """quantize_float() of one number, on the driver."""
+    bias, top = 2 ** (exponent - 1) - 1, 2**exponent - 1
+    if v != v or math.isinf(v):
+        return v
+    a = abs(v)
+    if a < _two_to(1 - bias):
+        return 0.0
+    if a >= _two_to(top - bias):
+        return math.copysign(INF, v)
+    scale = 2.0 ** (math.frexp(a)[1] - 1)
+    steps = 2**mantissa
+    near = math.floor((Fraction(a) / Fraction(scale) - 1) * steps + Fraction(1, 2))
+    return math.copysign(float((1 + Fraction(min(near, steps - 1), steps)) * Fraction(scale)), v)
+
+
 def float_bits(v: Column, exponent: int, mantissa: int, unsigned: bool = False) -> Column:
     """The bit pattern (BIGINT) of v as such a float; at most 63 bits in all."""
     if exponent + mantissa + (not unsigned) > 63:
-        raise ValueError("bit patterns of more than 63 bits are bytes: see pack_bits()")
+        raise ValueError("bit patterns of more than 63 bits are limbs: see wide.limbs()")
     bias, top = 2 ** (exponent - 1) - 1, 2**exponent - 1
 
     def pattern(q: Column) -> Column:
@@ -85,7 +103,7 @@ def wrap_int(v: Column, bits: int) -> Column:
     return v if bits >= 64 else F.shiftright(F.shiftleft(v, 64 - bits), 64 - bits)
 
 
-def _wrap64(v: Column) -> Column:
+def wrap64(v: Column) -> Column:
     """A DECIMAL(38, 0) modulo 2**64, as a signed BIGINT."""
     m = F.lit(Decimal(_2_64))
     low = F.pmod(v, m)
@@ -99,7 +117,7 @@ def wrapped(op: str, a: Column, b: Column, width: int = 64) -> Column:
     else:
         x, y = a.cast("decimal(20,0)"), b.cast("decimal(20,0)")
     exact = x + y if op == "+" else x - y if op == "-" else x * y
-    return exact if width < 64 else _wrap64(exact)
+    return exact if width < 64 else wrap64(exact)
 
 
 def truncated_div(a: Column, b: Column) -> Column:
@@ -107,6 +125,21 @@ def truncated_div(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 
 
+def exact(v: Column) -> Column:
+    """A BIGINT as a decimal; the product of two is exact."""
+    return v.cast("decimal(19,0)")
+
+
+def rounded_div(a: Column, b: Column) -> Column:
+    """The quotient of a decimal of at most 38 digits and an integer, rounded to the nearest integer, halves away from
+    zero, modulo 2**64; a zero divisor is an error whatever the session says."""
+    b = b.cast("decimal(38,0)")
+    half = F.call_function("div", F.abs(b), F.lit(2)).cast("decimal(19,0)")
+    near = F.when(a < 0, a - half).otherwise(a + half).cast("decimal(38,0)")
+    quotient = F.call_function("div", near, F.when(b == 0, F.lit(1)).otherwise(b).cast("decimal(38,0)"))
+    return F.when(b == 0, F.raise_error(F.lit("division of a fixed-point number by zero")).cast("bigint")).otherwise(quotient)
+
+
 def ieee_div(a: Column, b: Column) -> Column:
     """a / b on doubles with infinities and NaN, whatever the session says of division by zero."""
     zero = F.when((a == 0.0) | F.isnan(a), double(NAN)).when(a > 0.0, double(INF)).otherwise(double(-INF))
@@ -123,7 +156,9 @@ def rounded_int(v: Column) -> Column:
 def encode(v: Column, dtype: DType) -> Column:
     """A plain number as the library stores it: quantised DOUBLE, wrapped BIGINT, scaled BIGINT, or STRING beyond 64 bits."""
     if dtype.wide:
-        return v.cast("decimal(38,0)").cast("string")
+        from .wide import stored
+
+        return stored(v, dtype.bits)
     if dtype.kind == FIXED:
         return rounded_int(v.cast("double") * double(10**dtype.scale))
     if dtype.kind in (INT, SCALABLE_INT):
@@ -160,6 +195,7 @@ def float_config(v: Column, unsigned: bool) -> tuple[Column, Column]:
     size = F.abs(binary_exponent(F.when(plain, double(1)).otherwise(a)))
     x = binary_exponent(F.when(plain, double(1)).otherwise(a))
     exponent = let(x, _exponent_for)
+    # the mantissa's widths by the size of the exponent (fixed values)
     mantissa = let(size, lambda n: F.when(n <= 4, 8).when(n <= 10, 16).when(n <= 20, 24).when(n <= 40, 32).otherwise(40))
     sign = 0 if unsigned else 1
     bits = F.least(F.greatest(exponent + mantissa + sign, F.lit(8)), F.lit(64))

@@ -25,9 +25,9 @@ def dequantize_matmul(activations: Tensor, weights: Tensor, divisor: float = 0)
     div = lambda c, d: F.call_function("div", c, F.lit(d))
     a = activations.decoded().select(div(F.col("idx"), k).alias("i"), F.pmod("idx", F.lit(k)).alias("k"), F.col("value").alias("a"))
     w = weights.frame.select(div(F.col("idx"), n).alias("k"), F.pmod("idx", F.lit(n)).alias("j"), dequantized(weights, divisor).alias("w"))
-    cells = a.join(F.broadcast(w) if weights.size <= SMALL else w, "k").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("w")).alias("value"))
+    cells = a.join(F.broadcast(w) if weights.counted and weights.size <= SMALL else w, "k").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("w")).alias("value"))
     frame = cells.select((F.col("i") * F.lit(n) + F.col("j")).alias("idx"), "value")
-    return Tensor(frame, (m, n), dtypes.dynamic(), next(_ids))
+    return Tensor(frame, (m, n), dtypes.dynamic(), next(_ids), ("@", activations, weights))
 
 
 def rows_times_matrix(rows: DataFrame, vector: str, matrix: list[list[float]]) -> Column:

@@ -1,7 +1,8 @@
 """Dense tensors: a DataFrame (idx BIGINT, value) in row-major order, with the shape on the driver.
 
-Reshape changes nothing but the shape; transpose, slice and broadcast are arithmetic on idx; element-wise operations are
-one projection if both sides come from the same frame unchanged, and a join by position otherwise.
+Reshape changes nothing but the shape; transpose, slice and broadcast are arithmetic on idx. Element-wise operations keep
+their operands, so that a chain is one expression over its tensors: one projection if there is only one, else one join by
+position, rounded once at the end, and differentiable.
 """
 
 from __future__ import annotations
@@ -16,12 +17,16 @@ from pyspark.sql import functions as F
 from ..functions import codec
 from ..functions.dtypes import DType
 from ..plans.arrays import array_of
-from ..plans.expr import Binary, Expr, Variable, _ids
+from ..plans.expr import OPERATORS, Binary, Expr, Variable, _ids
 
-#: A tensor of at most this many elements is sent to every task when it is broadcast along axes.
+#: A tensor of at most this many elements is sent to every task, if its rows are known to be as many as its shape says.
 SMALL = 1_000_000
 
 
+class NotInNumpy(TypeError, ValueError):
+    """The elements' type is none of numpy's."""
+
+
 def strides(shape: Sequence[int]) -> tuple[int, ...]:
     """Elements from one index to the next along each axis, row-major."""
     return tuple(math.prod(shape[i + 1 :]) for i in range(len(shape)))
@@ -57,6 +62,10 @@ class Tensor:
     sizes: tuple[int, ...]
     kind: DType
     id: int
+    #: What an operation's result was made of; a view is a tensor of its own.
+    parts: tuple[str, Tensor, Tensor] | None = None
+    #: Whether the library made the rows itself, so that there is one a position.
+    counted: bool = False
 
     # ---- sources ----
 
@@ -65,7 +74,7 @@ class Tensor:
         if len(values) != math.prod(shape):
             raise ValueError(f"{len(values)} values for the shape {tuple(shape)}")
         frame, kind = array_of(engine.spark, values, dtype, bits, scale or None)
-        return Tensor(frame, tuple(shape), kind, next(_ids))
+        return Tensor(frame, tuple(shape), kind, next(_ids), counted=True)
 
     @staticmethod
     def from_frame(frame: DataFrame, shape: Sequence[int], kind: DType) -> Tensor:
@@ -80,7 +89,7 @@ class Tensor:
         if count < math.prod(shape):
             raise ValueError(f"{count} values for the shape {tuple(shape)}")
         frame, kind = read_packed(engine.spark, path, math.prod(shape), dtype, bits, scale)
-        return Tensor(frame, tuple(shape), kind, next(_ids))
+        return Tensor(frame, tuple(shape), kind, next(_ids), counted=True)
 
     # ---- shape ----
 
@@ -95,12 +104,12 @@ class Tensor:
     def reshape(self, shape: Sequence[int]) -> Tensor:
         if math.prod(shape) != self.size:
             raise ValueError(f"{self.sizes} has {self.size} elements, {tuple(shape)} has {math.prod(shape)}")
-        return replace(self, sizes=tuple(shape))
+        return replace(self, sizes=tuple(shape), parts=None)
 
     def transpose(self) -> Tensor:
         """All axes in reverse."""
         at, shape = coordinates(F.col("idx"), self.sizes), self.sizes[::-1]
-        return replace(self, frame=self.frame.select(position(at[::-1], strides(shape)).alias("idx"), "value"), sizes=shape)
+        return replace(self, frame=self.frame.select(position(at[::-1], strides(shape)).alias("idx"), "value"), sizes=shape, parts=None)
 
     def slice_and_dice(self, ranges: Sequence[tuple[int, int, int]]) -> Tensor:
         """(start, stop, step) along the first axes; the others stay whole."""
@@ -114,7 +123,7 @@ class Tensor:
         for c, (a, b, s) in zip(at, whole, strict=True):
             kept = kept & (c >= a) & (c < b) & (F.pmod(c - a, F.lit(s)) == 0)
         moved = [F.call_function("div", c - a, F.lit(s)) for c, (a, _, s) in zip(at, whole, strict=True)]
-        return replace(self, frame=self.frame.where(kept).select(position(moved, strides(shape)).cast("bigint").alias("idx"), "value"), sizes=shape)
+        return replace(self, frame=self.frame.where(kept).select(position(moved, strides(shape)).cast("bigint").alias("idx"), "value"), sizes=shape, parts=None)
 
     def broadcast_to(self, shape: Sequence[int]) -> Tensor:
         shape = tuple(shape)
@@ -128,27 +137,43 @@ class Tensor:
         wanted = spark.range(math.prod(shape)).withColumnRenamed("id", "idx")
         wanted = wanted.withColumn("source", position(coordinates(F.col("idx"), shape), steps))
         source = self.frame.select(F.col("idx").alias("source"), "value")
-        joined = wanted.join(F.broadcast(source) if self.size <= SMALL else source, "source")
-        return replace(self, frame=joined.select("idx", "value"), sizes=shape)
+        joined = wanted.join(F.broadcast(source) if self.counted and self.size <= SMALL else source, "source")
+        return replace(self, frame=joined.select("idx", "value"), sizes=shape, parts=None)
 
     def tile(self, repeat: int) -> Tensor:
         """The elements repeated end to end, as one axis."""
         copies = F.explode(F.sequence(F.lit(0), F.lit(repeat - 1))) if repeat > 0 else F.explode(F.array().cast("array<int>"))
         frame = self.frame.select("idx", "value", copies.alias("copy")).select((F.col("idx") + F.col("copy") * F.lit(self.size)).cast("bigint").alias("idx"), "value")
-        return replace(self, frame=frame, sizes=(self.size * max(0, repeat),))
+        return replace(self, frame=frame, sizes=(self.size * max(0, repeat),), parts=None)
 
     # ---- arithmetic ----
 
     def _with(self, op: str, other: object) -> Tensor:
         if not isinstance(other, Tensor):
             raise TypeError(f"a tensor combines with tensors, not {type(other).__name__}")
-        shape = common_shape(self.sizes, other.sizes)
-        a, b = self.broadcast_to(shape), other.broadcast_to(shape)
-        left, right = a.frame.select("idx", F.col("value").alias("a")), b.frame.select("idx", F.col("value").alias("b"))
-        small = min(a.size, b.size) <= SMALL
-        joined = left.join(F.broadcast(right) if small else right, "idx")
-        e = Binary(op, Variable(a.id, "a", a.kind, F.col("a")), Variable(b.id if b is not a else a.id, "b", b.kind, F.col("b")))
-        return Tensor(joined.select("idx", e.to_column().alias("value")), shape, self.kind.result(), next(_ids))
+        made = Tensor(self.frame, common_shape(self.sizes, other.sizes), self.kind.result(), next(_ids), (op, self, other))
+        leaves: list[tuple[Tensor, Variable]] = []
+        return replace(made, frame=_over(made._expression(made.sizes, leaves), leaves), counted=all(t.counted for t, _ in leaves))
+
+    def _expression(self, shape: tuple[int, ...], leaves: list[tuple[Tensor, Variable]]) -> Expr:
+        """The tree of operations at a shape; ``leaves`` gathers its tensors, each with the variable that stands for it."""
+        if self.parts and self.parts[0] in OPERATORS:
+            op, left, right = self.parts
+            return Binary(op, left._expression(shape, leaves), right._expression(shape, leaves))
+        for t, v in leaves:
+            if t.frame is self.frame and t.id == self.id and t.sizes == self.sizes:
+                return v
+        own = next(_ids) if any(v.id == self.id for _, v in leaves) else self.id  # another view of the same tensor
+        name = f"t{len(leaves)}"
+        leaves.append((self, Variable(own, name, self.kind, F.col(name), self.broadcast_to(shape).frame, math.prod(shape))))
+        return leaves[-1][1]
+
+    def _made_of(self, id: int, op: str) -> bool:
+        """Whether the tensor with an id went into an operation of a kind below."""
+        return bool(self.parts) and any(t.id == id and self.parts[0] == op or self.parts[0] == op and t._holds(id) or t._made_of(id, op) for t in self.parts[1:])
+
+    def _holds(self, id: int) -> bool:
+        return self.id == id or bool(self.parts) and any(t._holds(id) for t in self.parts[1:])
 
     def __add__(self, other):
         return self._with("+", other)
@@ -173,16 +198,21 @@ class Tensor:
         """The elements as an array for expressions and derivatives; views keep the tensor's identity."""
         return Variable(self.id, "tensor", self.kind, F.col("value"), self.frame, self.size)
 
-    def grad(self, f, wrt: Tensor | None = None) -> Tensor:
-        """The derivative of f (a function of expressions) at this tensor's elements."""
-        x = self.as_expr()
-        found: Expr = f(x).grad((wrt or self).id)
-        out = found.execute()
-        return Tensor(out.frame, self.sizes, out.kind, next(_ids))
+    def grad(self, of, wrt: Tensor | None = None) -> Tensor:
+        """Of an operation's result: its derivative with respect to the tensor ``of``, element by element. Of any tensor:
+        the derivative of the function ``of`` (of expressions) at its elements, with respect to ``wrt`` or itself."""
+        if isinstance(of, Tensor):
+            if self._made_of(of.id, "@"):
+                raise NotImplementedError("no derivative of a matrix product")
+            leaves: list[tuple[Tensor, Variable]] = []
+            found = self._expression(self.sizes, leaves).grad(of.id)
+            return Tensor(_over(found, leaves), self.sizes, found.dtype.result(), next(_ids), counted=all(t.counted for t, _ in leaves))
+        out = of(self.as_expr()).grad((wrt or self).id).execute()
+        return Tensor(out.frame, self.sizes, out.kind, next(_ids), counted=self.counted)
 
     def execute(self, engine=None, device: str = "cpu") -> Tensor:
-        if engine is not None and engine.eager:
-            self.frame.persist().count()
+        if engine is not None:
+            engine.hold(self.frame)
         return self
 
     # ---- sinks ----
@@ -203,12 +233,33 @@ class Tensor:
 
         names = {("float", 32): "float32", ("float", 64): "float64", ("dynamic_float", 64): "float64"} | {("int", b): f"int{b}" for b in (8, 16, 32, 64)}
         if self.kind.unsigned or (self.kind.kind, self.kind.bits) not in names:
-            raise TypeError(f"numpy has no type for {self.kind}")
+            raise NotInNumpy(f"numpy has no type for {self.kind}")
         rows = self.frame.orderBy("idx").select("value").collect()
         return np.array([r["value"] for r in rows], dtype=dtype or names[self.kind.kind, self.kind.bits]).reshape(self.sizes)
 
+    @property
+    def __array_interface__(self) -> dict:
+        """numpy's protocol over the collected elements, for the types that it has: 32 and 64-bit floats that kept their
+        sign, and 8 to 64-bit integers."""
+        if self.kind.unsigned:
+            raise NotInNumpy("a float array that gave its sign bit away has no numpy type")
+        if (self.kind.kind, self.kind.bits) not in {("float", 32), ("float", 64)} | {("int", b) for b in (8, 16, 32, 64)}:
+            raise NotInNumpy(f"numpy has no type for {self.kind}")
+        object.__setattr__(self, "_numpy", self.__array__())  # lives as long as this tensor, which numpy holds
+        return self._numpy.__array_interface__
+
+
+def _over(e: Expr, leaves: list[tuple[Tensor, Variable]]) -> DataFrame:
+    """An expression's values over its tensors, joined by position."""
+    joined = None
+    for t, v in leaves:
+        part = v.frame.select("idx", F.col("value").alias(v.name))
+        few = t.counted and v.size <= SMALL
+        joined = part if joined is None else joined.join(F.broadcast(part) if few else part, "idx")
+    return joined.select("idx", e.to_column().alias("value"))
+
 
 def range_tensor(spark: SparkSession, shape: Sequence[int], kind: DType) -> Tensor:
     """0, 1, 2, ... of a shape."""
     frame = spark.range(math.prod(shape)).select(F.col("id").alias("idx"), codec.encode(F.col("id"), kind).alias("value"))
-    return Tensor(frame, tuple(shape), kind, next(_ids))
+    return Tensor(frame, tuple(shape), kind, next(_ids), counted=True)

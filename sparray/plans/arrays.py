@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import codec, dtypes
+from ..functions import codec, dtypes, wide
 from ..functions.dtypes import DType
 from .expr import Expr, Variable, _ids
 
@@ -16,7 +16,7 @@ def array_of(spark: SparkSession, values: Sequence[float], dtype: str | DType, b
     """(idx, value) in the stored form of the type. A float array without a negative value gives its sign bit away."""
     kind = dtype if isinstance(dtype, DType) else dtypes.named(dtype, bits, scale)
     if kind.wide:
-        rows = [(i, str(int(v))) for i, v in enumerate(values)]
+        rows = [(i, str(wide.wrapped(int(v), kind.bits))) for i, v in enumerate(values)]
         return spark.createDataFrame(rows, "idx bigint, value string"), kind
     raw = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "idx bigint, value double")
     if kind.kind in (dtypes.SCALABLE_INT, dtypes.SCALABLE_FLOAT):
@@ -50,8 +50,8 @@ def evaluate(e: Expr, engine=None) -> Variable:
     plan = _bound(e, held)
     frame = joined.select("idx", plan.to_column().alias("value"))
     result = Variable(next(_ids), "result", e.dtype.result(), F.col("value"), frame, size)
-    if engine is not None and engine.eager:
-        frame.persist().count()
+    if engine is not None:
+        engine.hold(frame)
     return result
 
 

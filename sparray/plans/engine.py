@@ -6,7 +6,7 @@ import functools
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from .expr import Expr
 
@@ -18,11 +18,23 @@ class Engine:
 
     def __init__(self, spark: SparkSession | None = None):
         self.spark = spark or SparkSession.builder.getOrCreate()
+        self._held: list[DataFrame] = []
 
     @property
     def eager(self) -> bool:
         return current_mode() == "eager"
 
+    def hold(self, frame: DataFrame) -> None:
+        """In eager mode, compute a result at once and keep it until release()."""
+        if self.eager:
+            frame.persist().count()
+            self._held.append(frame)
+
+    def release(self) -> None:
+        """Give up the results that eager mode has kept; they are computed anew if they are looked at again."""
+        while self._held:
+            self._held.pop().unpersist()
+
 
 _mode = ["default"]
 

@@ -76,6 +76,12 @@ class Expr:
         frame, kind = array_of(engine.spark, values, dtype, bits, scale)
         return Variable(next(_ids), name, kind, F.col("value"), frame, len(values))
 
+    @staticmethod
+    def array(frame: DataFrame, idx: str, column: str, size: int, dtype: str | DType = "dynamic_float", bits: int = 32, scale: int = 1) -> Variable:
+        """A column of a table as an array of its own: ``idx`` tells the positions, ``size`` how many there are."""
+        v = Expr.col(column, dtype, bits, scale, frame=frame)
+        return Variable(v.id, column, v.kind, F.col("value"), frame.select(F.col(idx).cast("bigint").alias("idx"), v.column.alias("value")), size)
+
     # ---- what follows from the tree ----
 
     @property

@@ -21,8 +21,10 @@ def lower(e: Expr, raw_fixed_point: bool = False) -> Column:
         return wide.evaluate(inner, kind)
     if kind.integral:
         return wrap_result(_whole(inner, kind, raw_fixed_point).column, kind)
+    if isinstance(inner, Const) and not kind.exact_double:
+        return codec.double(codec.quantized(inner.value, kind.exponent, kind.mantissa))
     out = _real(inner)
-    return out if kind.exact_double else codec.let(out, lambda v: codec.quantize_float(v, kind.exponent, kind.mantissa))
+    return out if kind.exact_double else codec.quantize_float(out, kind.exponent, kind.mantissa)
 
 
 def wrap_result(c: Column, kind: DType) -> Column:
@@ -86,9 +88,14 @@ def _fixed(op: str, a: _Whole, b: _Whole, scale: int) -> _Whole:
     if op == "*":
         if not a.scale or not b.scale:
             return _Whole(codec.wrapped("*", a.column, b.column), 64, a.scale + b.scale)
-        product = a.column.cast("decimal(20,0)") * b.column.cast("decimal(18,0)")
+        product = codec.exact(a.column) * codec.exact(b.column)
         spare = a.scale + b.scale - scale
-        return _Whole(F.round(product / F.lit(10**spare).cast("decimal(18,0)") if spare > 0 else product, 0).cast("bigint"), 64, scale)
+        if spare <= 0:
+            return _Whole(codec.wrap64(product), 64, a.scale + b.scale)
+        return _Whole(codec.rounded_div(product, F.lit(10**spare).cast("bigint")), 64, scale)
     shift = scale + b.scale - a.scale
-    quotient = codec.ieee_div(a.column.cast("double") * codec.double(10.0**shift), b.column.cast("double"))
-    return _Whole(codec.rounded_int(quotient), 64, scale)
+    if abs(shift) > 18:
+        raise ValueError(f"a quotient of scales {a.scale} and {b.scale} at scale {scale} needs more than 38 digits")
+    up = codec.exact(a.column) * F.lit(10 ** max(0, shift)).cast("decimal(19,0)")
+    down = codec.exact(b.column) * F.lit(10 ** max(0, -shift)).cast("decimal(19,0)")
+    return _Whole(codec.rounded_div(up, down), 64, scale)

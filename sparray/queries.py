@@ -9,11 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import bits as packing
-from .functions import codec, dtypes
+from .functions import codec, dtypes, wide
 from .operators import linalg
 from .operators.tensor import Tensor, range_tensor
 from .plans.engine import MODES, Engine, mode, traced
+from .plans.engine import compile as compiled
 from .plans.expr import Expr
+from .storage import shared_root
 
 ITEM = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
@@ -332,11 +334,7 @@ def pack_unpack_roundtrip(spark, sf_dir):
 @query("SELECT i::BIGINT AS idx, ((i * 37) % 2048)::BIGINT - CASE WHEN (i * 37) % 2048 >= 1024 THEN 2048 ELSE 0 END AS value FROM (SELECT unnest(range(1000)) AS i)")
 def mmap_source(spark, sf_dir):
     """Patterns of 11 bits, written as a file where the session's shared folder is, and read back."""
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    folder = f"{root.rstrip('/')}/packed" if root else "file://" + tempfile.mkdtemp(prefix="sparray-packed-")
-    path = f"{folder}/{os.urandom(8).hex()}.bin"
+    path = f"{shared_root(spark)}/packed/{os.urandom(8).hex()}.bin"
     data = packing.pack_bits([(i * 37) % 2048 for i in range(1000)], 11)
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
@@ -368,6 +366,159 @@ def row_matmul(spark, sf_dir):
     return cells.select("vec_id", F.col("c")[0].alias("a"), F.col("c")[1].alias("b"))
 
 
+# ---- arrays, wide numbers, fixed point, tensors as expressions ---------------------------------------------------------
+
+
+@query("SELECT i AS idx, (i % 7 + 3 * i) * 2.5::DOUBLE + 10 AS value FROM (SELECT unnest(range(2000)) AS i)")
+def array_join(spark, sf_dir):
+    """Arrays of their own, joined by position; one of length 1 goes with every element."""
+    engine = Engine(spark)
+    x = Expr.var(engine, "x", [float(i % 7) for i in range(2000)], "dynamic_float")
+    y = Expr.var(engine, "y", [3.0 * i for i in range(2000)], "dynamic_float")
+    ten = Expr.var(engine, "ten", [10.0], "dynamic_float")
+    return ((x + y) * 2.5 + ten).execute(engine).frame
+
+
+@query("SELECT i AS idx, (i * 3 + 0.5)::DOUBLE AS value FROM (SELECT unnest(range(100)) AS i)")
+def array_unpack(spark, sf_dir):
+    """The values as a list on the driver, up to a limit."""
+    engine = Engine(spark)
+    x = Expr.var(engine, "x", [float(i) for i in range(300)], "dynamic_float")
+    found = (x * 3 + 0.5).unpack(engine, limit=100)
+    return spark.createDataFrame(list(enumerate(found)), "idx bigint, value double")
+
+
+@query("SELECT i AS idx, (i * i + 2 * i)::DOUBLE AS value FROM (SELECT unnest(range(50)) AS i)")
+def compile_lists(spark, sf_dir):
+    """A compiled function called with an engine and a list."""
+    engine = Engine(spark)
+    return traced_square(engine, [float(i) for i in range(50)]).frame.select("idx", F.col("value").cast("double").alias("value"))
+
+
+@compiled
+def traced_square(x):
+    return x * x + 2 * x
+
+
+@query("SELECT o_orderkey, (o_totalprice + o_custkey) * 2.5::DOUBLE AS z, 4 AS n FROM orders")
+def mode_execute(spark, sf_dir):
+    """Every mode executes; each row with its result and how many modes gave it."""
+    frame, engine, found = table(spark, sf_dir, "orders"), Engine(spark), None
+    size = frame.count()
+    for m in MODES:
+        with mode(m):
+            x, y = (Expr.array(frame, "o_orderkey", c, size) for c in ("o_totalprice", "o_custkey"))
+            out = ((x + y) * 2.5).execute(engine).frame
+        found = out if found is None else found.union(out)
+    met = found.groupBy("idx", "value").agg(F.count("*").cast("int").alias("n"))
+    return met.select(F.col("idx").alias("o_orderkey"), F.col("value").alias("z"), "n")
+
+
+def _scaled(kind: str, scale: int, op: str) -> Callable:
+    def run(spark, sf_dir):
+        a, b = Expr.col("l_extendedprice", kind, scale=scale), Expr.col("l_quantity", kind, scale=scale)
+        return items(spark, sf_dir, z=(a * b if op == "*" else a / b).to_column())
+
+    return run
+
+
+@query(item_sql("(round(l_extendedprice * 100)::HUGEINT * round(l_quantity * 100)::HUGEINT // 100)::BIGINT"))
+def fixed_point_mul(spark, sf_dir):
+    """Products of numbers with two decimal places keep them; quantities are whole, so none is rounded."""
+    return _scaled("floating_int", 2, "*")(spark, sf_dir)
+
+
+@query(item_sql("((2 * round(l_extendedprice * 100)::HUGEINT * 100 + round(l_quantity * 100)::HUGEINT) // (2 * round(l_quantity * 100)::HUGEINT))::BIGINT"))
+def fixed_point_div(spark, sf_dir):
+    """Quotients are exact before they are rounded to two places, halves away from zero."""
+    return _scaled("floating_int", 2, "/")(spark, sf_dir)
+
+
+@query(item_sql("(round(l_extendedprice * 100)::HUGEINT * 90071992547409931 % 18446744073709551616 - CASE WHEN round(l_extendedprice * 100)::HUGEINT * 90071992547409931 % 18446744073709551616 >= 9223372036854775808 THEN 18446744073709551616 ELSE 0 END)::BIGINT"))
+def fixed_point_wrap(spark, sf_dir):
+    """What needs more than 64 bits wraps; the raw integers are multiplied."""
+    a = Expr.col("l_extendedprice", "floating_int", scale=2)
+    b = Expr.col(F.lit(90071992547409931), dtypes.fixed(2), stored=True)
+    return items(spark, sf_dir, z=(a * b).to_column(raw_fixed_point=True))
+
+
+@query("SELECT o_orderkey, (((o_orderkey::HUGEINT * 1000000000000000000 + 590295810358705651712) % 1180591620717411303424) - 590295810358705651712)::VARCHAR AS z FROM orders")
+def int70_wrap(spark, sf_dir):
+    """Products at 70 bits, in two's complement."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", (Expr.col("o_orderkey", "int", 70) * 10**18).to_column().alias("z"))
+
+
+@query("SELECT i AS idx, (((i::HUGEINT * 100000000000000000000 + 590295810358705651712) % 1180591620717411303424) - 590295810358705651712)::VARCHAR AS value FROM (SELECT unnest(range(200)) AS i)")
+def int70_var(spark, sf_dir):
+    """An array is wrapped to its width as it is stored."""
+    return Expr.var(Engine(spark), "x", [i * 10**20 for i in range(200)], "int", 70).frame
+
+
+@query("SELECT o_orderkey, ((o_orderkey + 1)::HUGEINT * (o_custkey + 3)::HUGEINT * 1000000007::HUGEINT // (o_custkey + 11)::HUGEINT)::VARCHAR AS z FROM orders")
+def int128_div(spark, sf_dir):
+    a, b, c = (Expr.col(F.col(n) + k, "int", 128) for n, k in (("o_orderkey", 1), ("o_custkey", 3), ("o_custkey", 11)))
+    return table(spark, sf_dir, "orders").select("o_orderkey", (a * b * 1000000007 / c).to_column().alias("z"))
+
+
+@query(item_sql("((floor(log2(l_extendedprice)) + 1023)::BIGINT * 4503599627370496 + ((l_extendedprice / pow(2, floor(log2(l_extendedprice))) - 1) * 4503599627370496)::BIGINT)"))
+def float64_bits(spark, sf_dir):
+    """The bit pattern of a 64-bit float, as one limb."""
+    return items(spark, sf_dir, z=wide.limbs(F.col("l_extendedprice"), dtypes.floating(64))[0])
+
+
+@query("SELECT o_orderkey, o_totalprice::DOUBLE AS z FROM orders")
+def float128_roundtrip(spark, sf_dir):
+    """A 128-bit float as two limbs, and back."""
+    kind = dtypes.floating(128)
+    return table(spark, sf_dir, "orders").select("o_orderkey", wide.of_limbs(wide.limbs(F.col("o_totalprice"), kind), kind).cast("double").alias("z"))
+
+
+@query("SELECT o_orderkey, (o_custkey - 500)::VARCHAR AS z, CASE WHEN o_custkey < 500 THEN -1 ELSE 0 END::BIGINT AS high FROM orders")
+def int_limbs(spark, sf_dir):
+    """A 128-bit integer as two limbs, the sign extended to the upper one, and back."""
+    kind = dtypes.integer(128)
+    limbs = wide.limbs((F.col("o_custkey") - 500).cast("string"), kind)
+    return table(spark, sf_dir, "orders").select("o_orderkey", wide.of_limbs(limbs, kind).alias("z"), limbs[1].alias("high"))
+
+
+def _keys(spark, sf_dir, name, key, scale=1):
+    return Tensor.from_frame(table(spark, sf_dir, name).select(F.col(key).cast("bigint").alias("idx"), (F.col(key) * scale + 1).cast("double").alias("value")), (table(spark, sf_dir, name).count(),), dtypes.dynamic())
+
+
+@query("SELECT (n.n_nationkey * 5 + r.r_regionkey)::BIGINT AS idx, ((n.n_nationkey + 1) - (r.r_regionkey * 10 + 1))::DOUBLE AS value FROM nation n, region r")
+def tensor_sub(spark, sf_dir):
+    n, r = _keys(spark, sf_dir, "nation", "n_nationkey"), _keys(spark, sf_dir, "region", "r_regionkey", 10)
+    return (n.reshape((25, 1)) - r.reshape((1, 5))).decoded()
+
+
+@query("SELECT (n.n_nationkey * 5 + r.r_regionkey)::BIGINT AS idx, (n.n_nationkey + 1)::DOUBLE / (r.r_regionkey * 10 + 1)::DOUBLE AS value FROM nation n, region r")
+def tensor_div(spark, sf_dir):
+    n, r = _keys(spark, sf_dir, "nation", "n_nationkey"), _keys(spark, sf_dir, "region", "r_regionkey", 10)
+    return (n.reshape((25, 1)) / r.reshape((1, 5))).decoded()
+
+
+@query("SELECT n_nationkey::BIGINT AS idx, (2 * (n_nationkey + 1) + 3 * n_nationkey + 1)::DOUBLE AS value FROM nation")
+def tensor_grad(spark, sf_dir):
+    """The derivative of a tensor expression, x * x + x * y, with respect to x."""
+    x, y = _keys(spark, sf_dir, "nation", "n_nationkey"), _keys(spark, sf_dir, "nation", "n_nationkey", 3)
+    return (x * x + x * y).grad(x).decoded().select("idx", F.col("value").cast("double").alias("value"))
+
+
+@query("SELECT (i * 2)::BIGINT AS idx, (i + 1 + i * 2)::DOUBLE AS value FROM (SELECT unnest(range(3)) AS i) UNION ALL SELECT (i * 2 + 1)::BIGINT, (i + 1 + i * 2 + 1)::DOUBLE FROM (SELECT unnest(range(3)) AS i)")
+def tensor_values(spark, sf_dir):
+    """Tensors of values on the driver: [3, 1] and [3, 2]."""
+    engine = Engine(spark)
+    return (Tensor.from_values(engine, [1, 2, 3], [3, 1]) + Tensor.from_values(engine, list(range(6)), [3, 2])).decoded()
+
+
+@query("SELECT i::BIGINT AS idx, (2 * (i + 1) + 5)::DOUBLE AS value FROM (SELECT unnest(range(2)) AS i)")
+def matmul_in_expression(spark, sf_dir):
+    """[1, 1] times [[1, 2], [1, 2]], and 5 added."""
+    engine = Engine(spark)
+    product = Tensor.dequantize_matmul(Tensor.from_values(engine, [1, 1], [1, 2]), Tensor.from_values(engine, [1, 2, 1, 2], [2, 2], "int", 8))
+    return (product + Tensor.from_values(engine, [5], [1])).decoded()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_queries)
 

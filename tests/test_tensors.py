@@ -111,3 +111,49 @@ def test_large_side_is_joined_not_broadcast(spark):
     big = Tensor.from_frame(spark.range(10).select(F.col("id").alias("idx"), F.col("id").cast("double").alias("value")), (2_000_000,), dtypes.dynamic())
     plan = (big + big).frame._jdf.queryExecution().optimizedPlan().toString()
     assert "broadcast" not in plan
+
+
+def test_chain_is_one_expression(engine):
+    """A tensor with itself is one projection, a chain one join, and its derivative is that of the whole."""
+    a, b = tensor(engine, [1, 2, 3, 4], [2, 2]), tensor(engine, [5, 6], [1, 2])
+    assert "Join" not in (a + a * a).frame._jdf.queryExecution().optimizedPlan().toString()
+    assert ((a + b) * a - b).numpy() == [[1, 10], [19, 34]]
+    assert ((a + b) * a).grad(a).numpy() == [[7, 10], [11, 14]]
+    assert ((a + b) * a).grad(b).numpy() == [[1, 2], [3, 4]]
+    assert (a * a.transpose()).numpy() == [[1, 6], [6, 16]]
+    product = dequantize_matmul(a, tensor(engine, [1, 0, 0, 1], [2, 2], "int", 8))
+    assert (product + b).numpy() == [[6, 8], [8, 10]]
+    with pytest.raises(NotImplementedError):
+        (product + b).grad(a)
+
+
+def test_array_interface(engine):
+    import numpy as np
+
+    held = tensor(engine, [-1, 2, 3, 4], [2, 2])
+    assert held.__array_interface__["typestr"] == "<f4" and np.asarray(held).tolist() == [[-1, 2], [3, 4]]
+    for other in (tensor(engine, [1, 2], [2]), tensor(engine, [1, 2], [2], "int", 11), tensor(engine, [1, 2], [2], "floating_int")):
+        with pytest.raises(ValueError, match="numpy"):
+            other.__array_interface__
+
+
+def test_eager_is_released(engine):
+    from sparray import mode
+
+    with mode("eager"):
+        out = (Expr.var(engine, "x", [1, 2, 3]) * 2).execute(engine)
+    assert out.frame.is_cached and out.unpack() == [2, 4, 6]
+    engine.release()
+    assert not out.frame.is_cached
+
+
+def test_wide_packed_file(engine, tmp_path):
+    from sparray.functions.wide import float_pattern
+
+    values = [3 * 2**68 + 7, -5, 2**70 - 1]
+    path = tmp_path / "wide.bin"
+    path.write_bytes(bits.pack_bits([v & (2**70 - 1) for v in values], 70))
+    assert [r["value"] for r in Tensor.from_mmap(engine, str(path), 3, (3,), "int", 70).frame.orderBy("idx").collect()] == [str(v - 2**70 if v >= 2**69 else v) for v in values]
+    kind = dtypes.floating(128)
+    path.write_bytes(bits.pack_bits([float_pattern(v, kind) for v in (1.5, -0.1, 0.0)], 128))
+    assert Tensor.from_mmap(engine, str(path), 3, (3,), "float", 128).numpy() == [1.5, -0.1, 0.0]
