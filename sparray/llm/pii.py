@@ -83,7 +83,7 @@ KINDS = (
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", lambda m: F.length(digits(m)).between(16, 19) & luhn(F.substring(digits(m), 1, 19)), "[0-9][\\x20-]?[0-9]",
          r"(?<![0-9])[0-9]{4}+[ ./_–-]{1,3}+[0-9]{4,6}+[ ./_–-]{1,3}+[0-9]{4,5}+(?:[ ./_–-]{1,3}+[0-9]{1,7}+)?(?![0-9])", "[0-9]{4}[ ./_–-]{1,3}[0-9]{4}", "card|visa|master|amex|credit|debit|karte|tarjeta|carte"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: F.length(digits(m)).between(8, 15), "\\+[0-9]",
-         r"(?<![0-9.+A-Za-z])(?:00[1-9][0-9]{0,2}[ ./-]\(?[0-9]{2,5}+\)?|\([0-9]{2,5}+\)|[0-9]{3,5}+(?=[ ./-]))[ ./-]{0,2}+[0-9]{3,5}(?:[ ./-]?[0-9]{2,5}){1,2}(?![0-9.])", "[0-9][ ./)-]", "tel|fon|phone|call|mobile|cell|fax|telefon|handy|móvil|llam|appel"),
+         r"(?<![0-9.+A-Za-z])(?:00[1-9][0-9]{0,2}[ ./-]\(?[0-9]{2,5}+\)?|\([0-9]{2,5}+\)|[0-9]{3,5}+(?=[ ./-]))[ ./-]{0,2}+[0-9]{3,5}(?:[ ./-]?[0-9]{2,5}){1,2}(?![0-9]|\.[0-9])", "[0-9][ ./)-]", "tel|fon|phone|call|mobile|cell|fax|telefon|handy|móvil|llam|appel"),
 )
 NOT_PERSONAL = r"isbn|issn|order|invoice|version|ver\.|release|ref|serial|build|doi|part|item|license|licence|rev|section|page|year|pp?\."
 
