@@ -46,6 +46,8 @@ from .common import claim, quoted
 TOXIC, CLEAN, TRAIN_CHARS = 2500, 5000, 30_000
 LANDMARKS, ROUNDS, HALF_ROUNDS = 240, 5, 3
 SPAN, DECAY = 5, 0.7
+#: Parts of the clean texts, of which a round looks for words that resemble insults in one.
+PARTS = 3
 #: Letters of a word that are compared at a time; longer words are read in overlapping stretches.
 LONGEST, OVERLAP = 40, 10
 #: Parted letters stand in runs of at most so many.
@@ -77,16 +79,26 @@ _WORD = re.compile(r"[^\W\d_]+")
 _TABLE = _BASE**3
 
 
-def letter(c: str) -> int:
-    return _LETTERS.get(c) or 27 + ord(c) % 36
+#: The codes of letters by code point; those of other letters are shared.
+_CODES = np.array([_LETTERS.get(chr(c)) or 27 + c % 36 for c in range(0x180)], dtype=np.int64)
+
+
+def letters(words: Sequence[str]) -> np.ndarray:
+    """A row of codes per word, its ends marked, filled up with 0."""
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    row = np.repeat(np.arange(len(words)), sizes)
+    column = np.arange(len(points)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
+    codes = np.zeros((len(words), int(sizes.max(initial=0)) + 2), dtype=np.int64)
+    codes[row, column] = np.where(points < len(_CODES), _CODES[np.minimum(points, len(_CODES) - 1)], 27 + points % 36)
+    codes[:, 0] = codes[np.arange(len(words)), sizes + 1] = _EDGE
+    return codes
 
 
 def triples(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(index of the word, triple, weight), sorted, each pair once, weights normalised to a length of one."""
-    wide = max(map(len, words), default=0) + 2
-    codes = np.zeros((len(words), wide), dtype=np.int64)
-    for i, w in enumerate(words):
-        codes[i, : len(w) + 2] = [_EDGE, *map(letter, w), _EDGE]
+    codes = letters(words)
+    wide = codes.shape[1]
     keys, weights = [], []
     for a in range(1, SPAN):
         for b in range(a + 1, SPAN):
@@ -99,8 +111,10 @@ def triples(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             weights.append(np.full(len(row), DECAY ** (b + 1)))
     if not keys:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0)
-    key, place = np.unique(np.concatenate(keys), return_inverse=True)
-    weight = np.bincount(place, np.concatenate(weights))
+    key, weight = np.concatenate(keys), np.concatenate(weights)
+    order = np.argsort(key)
+    start = np.flatnonzero(np.diff(key[order], prepend=-1))
+    key, weight = key[order[start]], np.add.reduceat(weight[order], start)
     word = key // _TABLE
     length = np.sqrt(np.bincount(word, weight**2, minlength=len(words)))
     return word, key % _TABLE, weight / length[word]
@@ -120,7 +134,10 @@ def kernel(words: Sequence[str], landmarks: Sequence[str]) -> np.ndarray:
         at = np.where((at < len(known)) & (known[np.minimum(at, len(known) - 1)] == triple), at, len(known))
         held = at < len(known)
         block = np.zeros((len(some), len(landmarks)))
-        np.add.at(block, word[held], table[at[held]] * weight[held, None])
+        word = word[held]
+        if len(word):
+            start = np.flatnonzero(np.diff(word, prepend=-1))
+            block[word[start]] = np.add.reduceat(table[at[held]] * weight[held, None], start)
         out.append(block)
     return np.concatenate(out) if out else np.empty((0, len(landmarks)))
 
@@ -260,10 +277,12 @@ def train_words(rows: Iterable[tuple[Sequence[str], int]]) -> Machine:
         # the words of each half are valued by a machine that hasn't seen it, if that half has both labels
         seen = np.flatnonzero(half != h)
         some = rounds(every, [own[i] for i in seen], label[seen], HALF_ROUNDS) if len(set(label[seen])) == 2 else machine
-        value = some.words(every)
-        odds = np.zeros(len(every))
+        mine = np.flatnonzero(half == h)
+        value, odds = np.zeros(len(every)), np.zeros(len(every))
+        looked = np.unique(np.concatenate([own[i] for i in mine]))
+        value[looked] = some.words([every[i] for i in looked])
         odds[np.searchsorted(every, list(some.known))] = list(some.known.values())
-        for i in np.flatnonzero(half == h):
+        for i in mine:
             x[i] = features(value[own[i]].tolist(), float(odds[own[i]].max()))
     machine.curve = logistic(x, label)
     return machine
@@ -286,14 +305,16 @@ def rounds(every: list[str], own: list[np.ndarray], label: np.ndarray, turns: in
     value = np.where(telling, sizes[1] - sizes[0] * toxic / clean, 0.0)
     hard: list[str] = []
     machine = Machine(np.zeros(_TABLE), -1.0)
+    bad, good = [o for o, y in zip(own, label, strict=True) if y], [o for o, y in zip(own, label, strict=True) if not y]
+    first = lambda texts: [int(o[(value[o] + 1e-9 * telling[o]).argmax()]) for o in texts]
     for turn in range(turns):
-        best = [int(o[(value[o] + 1e-9 * telling[o]).argmax()]) for o in own]
-        witnesses = Counter(every[b] for b, y in zip(best, label, strict=True) if y and telling[b])
+        witnesses = Counter(every[b] for b in first(bad) if telling[b])
         witnesses |= frequent
         if not witnesses:
             return machine
         if turn:
-            worst = {every[b]: value[b] for b, y in zip(best, label, strict=True) if not y and every[b] not in witnesses}
+            # each turn looks at another part of the clean texts
+            worst = {every[b]: value[b] for b in first(good[turn % PARTS :: PARTS]) if every[b] not in witnesses}
             hard = list(dict.fromkeys([*hard, *sorted(worst, key=lambda w: (-worst[w], w))[:800]]))
         positive = [w for w, _ in sorted(witnesses.items(), key=lambda x: (-x[1], x[0]))]
         other = [w for w in dict.fromkeys([*negative, *hard]) if w not in witnesses]
@@ -304,7 +325,8 @@ def rounds(every: list[str], own: list[np.ndarray], label: np.ndarray, turns: in
         y = np.array([1.0] * (len(positive) + len(changed)) + [-1.0] * len(other))
         machine = fit_machine(positive + changed + other, y, counts, marks)
         if turn < turns - 1:
-            value = machine.words(every)
+            looked = np.unique(np.concatenate([*bad, *good[(turn + 1) % PARTS :: PARTS]]))
+            value[looked] = machine.words([every[i] for i in looked])
     odds = np.log((sizes[1] + 0.5) / (toxic + 1)) - np.log((sizes[0] + 0.5) / (clean + 1))
     machine.known = {every[i]: float(odds[i]) for i in np.flatnonzero(telling & (sizes[1] >= OFTEN))}
     return machine
