@@ -8,9 +8,10 @@ in the triples, so scoring a word is one weighted sum over its triples.
 
 Labels belong to texts; which words earn them is found in rounds: at first each toxic text is represented by that of its
 words, much rarer in clean texts, which the most toxic texts hold; then by its best-scoring word; such words of very many
-toxic texts are positives throughout, while clean texts give their best-scoring words as negatives. A text's score is a
-logistic curve over its highest words' values, its number of words, and the log odds that training texts gave to the words
-among them that they hold often; so one word that resembles an insult by chance weighs less than several. The curve is fitted on training texts whose words are valued by a machine trained on the
+toxic texts are positives throughout, while clean texts give their best-scoring words as negatives. A text's score is the
+higher of two logistic curves: one over its highest words' values and its number of words, one over the log odds as well
+that training texts gave to the words among them that they hold often. So one word that resembles an insult by chance
+weighs less than several, or than one that is known. The curves are fitted on training texts whose words are valued by a machine trained on the
 other half of them.
 Single letters in a row, and letters parted by signs, count as one word too; digits and signs among letters are read as
 the letters they look like. Letters beyond the Latin ones share codes by their code point.
@@ -54,8 +55,8 @@ LONGEST, OVERLAP = 40, 10
 SHORT = 3
 CACHED = 300_000
 THRESHOLD = 0.7
-#: The value where a text has no word.
-LOW = -2.0
+#: The value where a text has no word, and where it has a word but no further one.
+LOW, MIDDLING = -2.0, -0.6
 RIDGE = 0.0005
 #: The positives that are also trained on with a letter put in or doubled.
 CHANGED = 60
@@ -145,12 +146,12 @@ def kernel(words: Sequence[str], landmarks: Sequence[str]) -> np.ndarray:
 @dataclass
 class Machine:
     """weights[triple] of the collapsed machine, its bias, words known from training with the log odds of holding them, and
-    the logistic curve from a text's features to a score."""
+    the logistic curves from a text's features to a score, with and without those odds."""
 
     weights: np.ndarray
     bias: float
     known: dict[str, float] = field(default_factory=dict)
-    curve: np.ndarray = field(default_factory=lambda: np.array([0.0] * (TOP + 2) + [-30.0]))
+    curves: np.ndarray = field(default_factory=lambda: np.array([[0.0] * (TOP + 2) + [-30.0]] * 2))
 
     def words(self, words: Sequence[str]) -> np.ndarray:
         out = []
@@ -161,7 +162,7 @@ class Machine:
         return np.concatenate(out) if out else np.empty(0)
 
     def score(self, features: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(np.clip(-(features @ self.curve[:-1] + self.curve[-1]), -30, 30)))
+        return 1 / (1 + np.exp(np.clip(-(features @ self.curves[:, :-1].T + self.curves[:, -1]).max(axis=1), -30, 30)))
 
 
 def features(values: Iterable[float], odds: float) -> list[float]:
@@ -169,7 +170,7 @@ def features(values: Iterable[float], odds: float) -> list[float]:
     each once, how many there are, and the odds."""
     once = set(values)
     top = heapq.nlargest(TOP, once)
-    return [*top, *[LOW] * (TOP - len(top)), math.log1p(len(once)), odds]
+    return [*top, *[MIDDLING if top else LOW] * (TOP - len(top)), math.log1p(len(once)), odds]
 
 
 def parted(read: str) -> list[str]:
@@ -271,7 +272,7 @@ def train_words(rows: Iterable[tuple[Sequence[str], int]]) -> Machine:
     if not (label == 1).any() or (label == 1).all():
         return Machine(np.zeros(_TABLE), -1.0)
     machine = rounds(every, own, label)
-    x = np.empty((len(own), TOP + 2))
+    x, disguised = np.empty((len(own), TOP + 2)), []
     half = np.arange(len(own)) % 2
     for h in (0, 1):
         # the words of each half are valued by a machine that hasn't seen it, if that half has both labels
@@ -284,7 +285,14 @@ def train_words(rows: Iterable[tuple[Sequence[str], int]]) -> Machine:
         odds[np.searchsorted(every, list(some.known))] = list(some.known.values())
         for i in mine:
             x[i] = features(value[own[i]].tolist(), float(odds[own[i]].max()))
-    machine.curve = logistic(x, label)
+        # toxic texts once more, with the words that are known written otherwise
+        known = sorted(some.known)
+        other = value.copy()
+        other[np.searchsorted(every, known)] = some.words([variants(w)[k % 4] for k, w in enumerate(known)])
+        disguised += [features(other[own[i]].tolist(), 0.0) for i in mine if label[i] and odds[own[i]].max() > 0]
+    hidden = np.array(disguised).reshape(-1, TOP + 2)[:, :-1]
+    plain = logistic(np.vstack((x[:, :-1], hidden)), np.append(label, np.ones(len(hidden), dtype=label.dtype)), TOP)
+    machine.curves = np.stack((logistic(x, label, TOP), [*plain[:-1], 0.0, plain[-1]]))
     return machine
 
 
@@ -332,12 +340,12 @@ def rounds(every: list[str], own: list[np.ndarray], label: np.ndarray, turns: in
     return machine
 
 
-def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, falls: int) -> np.ndarray:
     """Weights and offset of a logistic curve of labels over features, by Newton steps with a small ridge. Both labels
-    weigh alike."""
+    weigh alike. A feature that may only lower the score is left out if it would raise it."""
     z = np.hstack((x, np.ones((len(x), 1))))
     weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
-    ridge = np.array([1e-4] * x.shape[1] + [1e-8])
+    ridge = np.array([3e-3] * x.shape[1] + [1e-8])
     w = np.zeros(z.shape[1])
     for _ in range(100):
         p = 1 / (1 + np.exp(np.clip(-(z @ w), -30, 30)))
@@ -346,6 +354,8 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         w = w - step * min(1.0, 2.0 / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-7:
             break
+    if w[falls] > 0:
+        return logistic(np.where(np.arange(x.shape[1]) == falls, 0.0, x), y, falls)
     return w
 
 

@@ -141,7 +141,7 @@ def test_toxicity_score_is_kernel_and_curve():
     y = np.array([1.0 if "ing" in w else -1.0 for w in words])
     marks = words[::3]
     machine = toxicity.fit_machine(words, y, np.ones(len(words)), marks)
-    machine.known, machine.curve = {"aningx": 4.0}, np.array([1.0, 0.5, 0.25, -0.3, 0.2, 0.1])
+    machine.known, machine.curves = {"aningx": 4.0}, np.array([[1.0, 0.5, 0.25, -0.3, 0.2, 0.1], [0.0, 0.0, 0.0, 0.0, 0.0, -9.0]])
     # the collapsed weights are a combination of the landmarks' own
     columns = np.zeros((toxicity._TABLE, len(marks)))
     mark, triple, weight = toxicity.triples(marks)
@@ -152,7 +152,7 @@ def test_toxicity_score_is_kernel_and_curve():
     assert machine.words(words) == pytest.approx(value, abs=1e-6)
     text = " ".join(r.sample(words, 9)) + " aningx " + words[0].upper() + "."
     held = sorted({round(v, 9) for w, v in zip([*words, "aningx"], [*value, machine.words(["aningx"])[0]], strict=True) if w in text.lower().replace(".", "").split()}, reverse=True)
-    x = sum(c * f for c, f in zip(machine.curve, [*held[:3], np.log1p(len(held)), 4.0, 1.0], strict=True))
+    x = sum(c * f for c, f in zip(machine.curves[0], [*held[:3], np.log1p(len(held)), 4.0, 1.0], strict=True))
     assert toxicity.Scorer(machine).scores([text])[0] == pytest.approx(1 / (1 + np.exp(-x)), abs=1e-6)
 
 
