@@ -2,17 +2,19 @@
 
 Training texts are scanned window by window: a rolling hash is looked up in the set of the items' hashes, every hit is
 verified word by word, and the words inside verified hits are marked. The items come in blocks of bounded bytes; one
-block is broadcast at a time, and if there are several, their marks are merged per text, so the size of the benchmark
-is not bounded.
+block is broadcast at a time, and if there are several, the texts are written once, and their hits block by block as
+narrow rows that are merged per text, so the size of the benchmark is not bounded.
 
 Defined results: null or empty texts have no words and no hits; an item without words has no window; an item of fewer
 words than a window is one window; hits of an item with a null id mark words but are not counted among the items;
-repeated rows are judged each. Texts are scanned whole.
+repeated rows are judged each; an empty table or benchmark gives no hits. Texts are scanned whole, however long, some
+megabytes at a time; other columns are kept whatever their names, but for one that is named as the marks to add.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -21,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, quoted
+from .common import materialize, numbered, quoted
 
 WINDOW = 13
-#: Bytes of item text in one broadcast block.
-BLOCK_BYTES = 32_000_000
+#: Bytes of item text in one broadcast block. Built, a block is about twelve times as large, in each Python worker.
+BLOCK_BYTES = 8_000_000
+#: Windows of training text that are hashed at a time.
+ROWS = 100_000
 #: Bytes of training text that one step of the scan holds as words.
 STEP_BYTES = 4_000_000
 
@@ -39,57 +43,70 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class WindowSet:
-    """The windows of the items by length and rolling hash."""
+    """The distinct windows of the items as sorted arrays: hashes, the numbers of their words, and the items that hold
+    them. About 12 bytes and 4 a word for each window, besides the words themselves."""
 
     def __init__(self, items: Iterable[tuple[object, str | None]], size: int = WINDOW):
         self.ids: dict[bytes, int] = {}
-        self.windows: dict[int, dict[tuple[int, ...], list[int]]] = defaultdict(lambda: defaultdict(list))
         self.items: list[str | None] = []
+        found: dict[int, list[tuple[np.ndarray, int]]] = defaultdict(list)
         for item_id, text in items:
             words = [self.ids.setdefault(w, len(self.ids) + 1) for w in words_of(text)]
             self.items.append(None if item_id is None else str(item_id))
-            n = min(size, len(words))
-            for i in range(len(words) - n + 1 if n else 0):
-                owners = self.windows[n][tuple(words[i : i + n])]
-                if not owners or owners[-1] != len(self.items) - 1:
-                    owners.append(len(self.items) - 1)
-        self.windows = {n: dict(w) for n, w in self.windows.items()}
-        self.hashes = {n: np.unique(np.array([self.hash(np.array(w, dtype=np.uint64), n)[0] for w in found], dtype=np.uint64)) for n, found in self.windows.items()}
+            if words:
+                n = min(size, len(words))
+                found[n].append((np.lib.stride_tricks.sliding_window_view(np.array(words, dtype=np.uint32), n), len(self.items) - 1))
+        self.sets = {n: self._sorted(n, parts) for n, parts in found.items()}
+
+    @classmethod
+    def _sorted(cls, n: int, parts: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, ...]:
+        """(hashes, windows, first place of each one's owners, owners)"""
+        rows = np.ascontiguousarray(np.concatenate([w for w, _ in parts]))
+        owner = np.repeat(np.array([k for _, k in parts]), [len(w) for w, _ in parts])
+        hashes = cls.hash_rows(rows)
+        order = np.lexsort((*rows.T, hashes))  # the same windows side by side, whatever else has their hash
+        rows, owner, hashes = rows[order], owner[order], hashes[order]
+        fresh = np.concatenate(([True], (rows[1:] != rows[:-1]).any(axis=1)))
+        number = np.cumsum(fresh) - 1
+        pairs = np.unique(np.stack((number, owner), axis=1), axis=0)
+        starts = np.searchsorted(pairs[:, 0], np.arange(number[-1] + 2))
+        return hashes[fresh], rows[fresh], starts, pairs[:, 1]
 
     @staticmethod
-    def hash(words: np.ndarray, n: int) -> np.ndarray:
-        """Hash of each window of n word numbers, modulo 2**64."""
+    def hash_rows(rows: np.ndarray) -> np.ndarray:
+        """Hash of each row of word numbers, modulo 2**64."""
+        out = np.zeros(len(rows), dtype=np.uint64)
         with np.errstate(over="ignore"):
-            mixed = (words * np.uint64(0x9E3779B97F4A7C15)) ^ (words >> np.uint64(7))
-            out = np.zeros(max(0, len(words) - n + 1), dtype=np.uint64)
-            for k in range(n):
-                out = out * np.uint64(0xD1342543DE82EF95) + mixed[k : len(words) - n + 1 + k]
+            for k in range(rows.shape[1]):
+                words = rows[:, k].astype(np.uint64)
+                out = out * np.uint64(0xD1342543DE82EF95) + ((words * np.uint64(0x9E3779B97F4A7C15)) ^ (words >> np.uint64(7)))
         return out
 
     def scan(self, texts: list[bytes]) -> list[tuple[int, list[tuple[int, int]], set[int]]]:
         """For each normalised text: its words, the merged [start, end) word ranges inside hits, the items hit."""
         words = _END.join(texts).split()
-        numbers = np.fromiter(map(self.ids.get, words, _zeros()), dtype=np.uint64, count=len(words))
+        numbers = np.fromiter(map(self.ids.get, words, _zeros()), dtype=np.uint32, count=len(words))
         ends = np.array([i for i, w in enumerate(words) if w == b"\x00"] if len(texts) > 1 else [], dtype=np.int64)
         starts = np.concatenate(([0], ends + 1))
         sizes = np.concatenate((ends, [len(words)])) - starts
         hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
         owners: dict[int, set[int]] = defaultdict(set)
-        for n, known in self.hashes.items():
+        held = np.concatenate(([0], np.cumsum(numbers != 0)))
+        for n, (known, rows, first, owner) in self.sets.items():
             if len(words) < n:
                 continue
-            held = np.concatenate(([0], np.cumsum(numbers != 0)))
             full = np.flatnonzero(held[n:] - held[:-n] == n)  # windows made of the items' words alone
             if not len(full):
                 continue
-            # only stretches of known words are hashed
-            got = self.hash(numbers, n)[full] if len(full) > len(words) // 8 else np.concatenate([self.hash(numbers[i : i + n], n) for i in full])
-            at = np.minimum(np.searchsorted(known, got), len(known) - 1)
-            for i in full[known[at] == got].tolist():
-                if (owned := self.windows[n].get(tuple(numbers[i : i + n].tolist()))) is not None:
-                    k = int(np.searchsorted(starts, i, side="right")) - 1
-                    hits[k].append((i - int(starts[k]), i - int(starts[k]) + n))
-                    owners[k].update(owned)
+            own = np.lib.stride_tricks.sliding_window_view(numbers, n)
+            got = np.concatenate([self.hash_rows(own[full[i : i + ROWS]]) for i in range(0, len(full), ROWS)])
+            low, high = np.searchsorted(known, got, "left"), np.searchsorted(known, got, "right")
+            for i, a, b in zip(full[low < high].tolist(), low[low < high].tolist(), high[low < high].tolist(), strict=True):
+                for w in range(a, b):
+                    if np.array_equal(rows[w], own[i]):
+                        k = int(np.searchsorted(starts, i, side="right")) - 1
+                        hits[k].append((i - int(starts[k]), i - int(starts[k]) + n))
+                        owners[k].update(owner[first[w] : first[w + 1]].tolist())
         return [(int(sizes[k]), merged(hits.get(k, [])), owners.get(k, set())) for k in range(len(texts))]
 
 
@@ -145,7 +162,7 @@ def _strings(array: pa.Array, size: int = 256) -> Iterator[str | None]:
         yield from array.slice(i, size).to_pylist()
 
 
-def item_blocks(benchmark: DataFrame, item_id: str, item_text: str) -> list[list[tuple[object, str | None]]]:
+def item_blocks(benchmark: DataFrame, item_id: str, item_text: str) -> Iterator[list[tuple[object, str | None]]]:
     """The items on the driver in blocks of about BLOCK_BYTES; one block at a time where there are several."""
     items = benchmark.select(quoted(item_id).alias("i"), quoted(item_text).alias("t"))
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
@@ -159,13 +176,21 @@ def item_blocks(benchmark: DataFrame, item_id: str, item_text: str) -> list[list
 def with_marks(docs: DataFrame, benchmark: DataFrame, marks: str, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """docs with a column ``marks``: n_words, the word ranges inside hits, the ids of the items hit, as sorted strings."""
     spark = docs.sparkSession
-    for block in item_blocks(benchmark, item_id, item_text):
-        found = _marker(spark, block, window)(quoted(text))
-        if marks not in docs.columns:
-            docs = docs.withColumn(marks, found)
-        else:
-            docs = materialize(docs.withColumn(marks, _both(F.col(marks), found)), "marks")
-    return docs
+    blocks = item_blocks(benchmark, item_id, item_text)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return docs.withColumn(marks, _marker(spark, first, window)(quoted(text)))
+    own, (text,), names = numbered(docs, text, without=(marks,))
+    stored = materialize(own.withColumn("row", F.monotonically_increasing_id()), "texts")
+    found = None
+    for block in itertools.chain((first, second), blocks):
+        part = stored.select("row", _marker(spark, block, window)(F.col(text)).alias("m"))
+        part = materialize(part if found is None else part.where(F.size("m.ranges") > 0), "marks")
+        found = part if found is None else found.union(part)
+    # one row a block at most is gathered for each text
+    gathered = found.groupBy("row").agg(F.collect_list("m").alias("all"))
+    merged_marks = gathered.select("row", F.aggregate(F.slice("all", 2, F.size("all")), F.col("all")[0], _both).alias("m"))
+    return stored.join(merged_marks.hint("merge"), "row").drop("row").toDF(*names, marks)
 
 
 def _both(a: Column, b: Column) -> Column:
@@ -182,13 +207,13 @@ def _both(a: Column, b: Column) -> Column:
 
 
 def hit_words(marks: str) -> Column:
-    return F.aggregate(F.col(marks)["ranges"], F.lit(0).cast("bigint"), lambda n, r: n + r["to"] - r["from"])
+    return F.aggregate(quoted(marks)["ranges"], F.lit(0).cast("bigint"), lambda n, r: n + r["to"] - r["from"])
 
 
 def contaminated(marks: str) -> Column:
     """At least one word in twenty stands inside a hit."""
     n_hit = hit_words(marks)
-    return (n_hit > 0) & (20 * n_hit >= F.col(marks)["n_words"])
+    return (n_hit > 0) & (20 * n_hit >= quoted(marks)["n_words"])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", remove: str = "documents", **names) -> DataFrame:
@@ -198,8 +223,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", rem
     marked = with_marks(docs, benchmark, marks, text, **names)
     if remove == "documents":
         return marked.where(~contaminated(marks)).select(*map(quoted, columns))
-    cut = F.arrow_udf(_cut, "string")(quoted(text), F.col(marks)["ranges"])
-    return marked.withColumn(text, F.when(F.size(F.col(marks)["ranges"]) > 0, cut).otherwise(quoted(text))).select(*map(quoted, columns))
+    cut = F.arrow_udf(_cut, "string")(quoted(text), quoted(marks)["ranges"])
+    return marked.withColumn(text, F.when(F.size(quoted(marks)["ranges"]) > 0, cut).otherwise(quoted(text))).select(*map(quoted, columns))
 
 
 def _cut(texts: pa.Array, ranges: pa.Array) -> pa.Array:

@@ -9,7 +9,8 @@ without it are treated alike.
 
 Defined results: a null, empty or wordless page has the empty text; unclosed and stray tags are repaired as browsers do
 for paragraphs, list items and cells; an unterminated comment, tag or script runs to the end of the page; repeated rows
-are extracted each; an empty table gives an empty result and default weights. Pages are read whole.
+are extracted each; an empty table gives an empty result and default weights. Pages are read whole, in time that grows with
+their length however deep they nest; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import quoted
+
 #: Labelled pages that the weights are counted over, at most, and the longest page among them.
 SAMPLE = 2000
 SAMPLE_CHARS = 200_000
@@ -48,6 +51,9 @@ BLOCKS = {
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: What an opening tag closes: the element itself, up to the nearest of these containers (fixed values).
 REOPENED = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
+ENDING = {*REOPENED, *(c for containers in REOPENED.values() for c in containers)}
+#: Features of the nearest elements around a word that count for it, from twice as many on.
+CONTEXT = 64
 #: Elements that hold whole pages or articles; a listed word on them names what they hold somewhere, or a layout.
 WHOLE = {"html", "body", "main", "article"}
 #: The weight that a listed element or word starts with, and the words outside content that it stands for.
@@ -108,7 +114,9 @@ def features_of(name: str, attributes: str) -> tuple[str, ...]:
 def read(page: str) -> list[Piece]:
     """The page as tags and stretches of text, each with the features of the open elements."""
     out: list[Piece] = []
-    open_: list[tuple[str, tuple[str, ...], bool]] = []  # name, features so far, in an article
+    # name, features so far, in an article, the place of the nearest element from here on down that ends others
+    open_: list[tuple[str, tuple[str, ...], bool, int]] = []
+    held: Counter = Counter()  # names of the open elements, so that no stray tag looks through them all
     features: tuple[str, ...] = ()
     block, at, inside = 0, 0, False
 
@@ -118,6 +126,7 @@ def read(page: str) -> list[Piece]:
 
     def close(k: int) -> None:
         nonlocal features, inside
+        held.subtract(o[0] for o in open_[k:])
         del open_[k:]
         features, inside = (open_[-1][1], open_[-1][2]) if open_ else ((), False)
 
@@ -133,7 +142,7 @@ def read(page: str) -> list[Piece]:
         if name in BLOCKS:
             block += 1
         if closing:
-            for k in range(len(open_) - 1, -1, -1):
+            for k in range(len(open_) - 1, -1, -1) if held[name] > 0 else ():
                 if open_[k][0] == name:
                     close(k)
                     break
@@ -148,22 +157,30 @@ def read(page: str) -> list[Piece]:
             continue
         if name in BLOCKS:
             # an open paragraph ends where a block begins; an item ends where the next one of its list begins
-            for k in range(len(open_) - 1, -1, -1):
+            for k in range(len(open_) - 1, -1, -1) if held["p"] > 0 else ():
                 if open_[k][0] == "p":
                     close(k)
                     break
                 if open_[k][0] in BLOCKS:
                     break
         if name in REOPENED:
-            for k in range(len(open_) - 1, -1, -1):
+            k = open_[-1][3] if open_ else -1
+            while k >= 0:
                 if open_[k][0] == name or name in ("dt", "dd", "td", "th") and open_[k][0] in REOPENED and REOPENED[open_[k][0]] == REOPENED[name]:
                     close(k)
                     break
                 if open_[k][0] in REOPENED[name]:
                     break
-        features = tuple(dict.fromkeys(features + features_of(name, m[3])))
+                k = open_[k - 1][3] if k else -1
+        if own_features := features_of(name, m[3]):
+            features = tuple(dict.fromkeys(features + own_features))
+            if len(features) > 2 * CONTEXT:
+                # the nearest ones, and all that can leave words out, of which there are few
+                far = len(features) - CONTEXT
+                features = tuple(f for i, f in enumerate(features) if i >= far or f[0] == "!")
         inside = inside or name == "article"
-        open_.append((name, features, inside))
+        held[name] += 1
+        open_.append((name, features, inside, len(open_) if name in ENDING else open_[-1][3] if open_ else -1))
         out[own].features = features
     text(len(page))
     return out
@@ -229,9 +246,12 @@ def counted(page: str) -> Counter:
 
 
 def learn_weights(pages: DataFrame, key: str, html: str, sample: int = SAMPLE) -> Weights:
-    """Log odds of features and tags over a sample of labelled pages, the same at every run: least hash first."""
-    labelled = pages.where(F.col(html).contains("<article") & (F.length(html) <= SAMPLE_CHARS)).select(F.xxhash64(key).alias("h"), F.col(html).alias("html"))
-    some = labelled.orderBy("h", "html").limit(sample).select("html")
+    """Log odds of features and tags over a sample of labelled pages, the same at every run: those of least hash, each page
+    once."""
+    # the hashes of the sample are chosen first, so that only its pages move
+    labelled = pages.select(F.xxhash64(quoted(key), quoted(html)).alias("h"), quoted(html).alias("html")).where(F.col("html").contains("<article") & (F.length("html") <= SAMPLE_CHARS))
+    last = labelled.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    some = labelled.where(F.col("h") <= F.lit(last)).groupBy("h").agg(F.min("html").alias("html")).select("html")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,5 +288,5 @@ def main_text(pages: DataFrame, html: Column, weights: Weights) -> Column:
 def extract_pages(pages: DataFrame, key: str = "page_id", html: str = "html", url: str | None = "url", weights: Weights | None = None) -> DataFrame:
     """(key[, url], text): every page with its main text."""
     weights = weights or learn_weights(pages, key, html)
-    kept = [F.col(c) for c in (key, url) if c]
-    return pages.select(*kept, main_text(pages, F.col(html), weights).alias("text"))
+    kept = [quoted(c) for c in (key, url) if c]
+    return pages.select(*kept, main_text(pages, quoted(html), weights).alias("text"))

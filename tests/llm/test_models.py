@@ -59,8 +59,29 @@ def test_only_candidates_run():
     rules = [url_filters.host_path_rule(f"site{i}.com/p/", "block") for i in range(5000)]
     index = url_filters.RuleIndex(rules, {"com": 10**6, "p": 10**5})
     assert index.best("a.site77.com", "/p/q", True).name == "site77.com/p/" and index.expressions_run == 1
-    with pytest.raises(ValueError, match="at most"):
-        url_filters.judge_urls(None, [rules[0]] * (url_filters.MAX_RULES + 1))
+
+
+def test_rule_blocks(spark, monkeypatch):
+    """More rules than a block holds, with general patterns of mixed kinds among them: as by trying every rule."""
+    r = random.Random(12)
+    rules = [url_filters.host_path_rule(f"site{r.randrange(300)}.com/" + r.choice(("", "p/", "p/q", "en/7")), r.choice(("allow", "block"))) for _ in range(700)]
+    rules += [url_filters.pattern_rule(f"w{i}", "block", rf".*\bw{i}\b.*", f"w{i}") for i in range(300)]
+    r.shuffle(rules)
+    urls = [f"http://{r.choice(('', 'a.', 'x-'))}site{r.randrange(320)}.com/" + r.choice(("", "p/q/r", "en/75", f"w{r.randrange(320)}/x", f"p/w{r.randrange(320)}")) for _ in range(400)]
+    want = []
+    for u in urls:
+        text = u.split("://")[1]
+        fit = lambda listed: [(-x.length, i, x) for i, x in enumerate(rules) if x.listed is listed and re.match(x.pattern, text)]
+        rule, general = (min(f)[2] if (f := fit(listed)) else None for listed in (True, False))
+        want.append((rule and rule.name, (rule or general).action if rule or general else "allow", None if rule else general and general.name))
+    monkeypatch.setattr(url_filters, "MAX_RULES", 130)
+    df = spark.createDataFrame(list(enumerate(urls)), "`page.id` int, url string").withColumn("best", F.lit(1)).withColumn("key", F.lit(2))
+    out = url_filters.judge_urls(df, rules, "page.id")
+    assert out.columns == ["page.id", "host", "path", "rule", "verdict", "pattern"]
+    got = {i: rest for i, *rest in out.collect()}
+    assert [tuple(got[i][2:]) for i in range(len(urls))] == want
+    table = spark.createDataFrame([("a.com/x", "block", None, None), ("bad", "block", ".*bad.*", "bad")], "rule string, action string, pattern string, token string")
+    assert [x.listed for x in url_filters.rules_of(table)] == [True, False]
 
 
 # ---- top-k ----
@@ -405,6 +426,30 @@ def test_html_labels_outweigh_the_list(spark):
     assert html_extract.Extractor(weights).extract(page) == "Some words here to read."
 
 
+def test_html_deep_pages_take_linear_time():
+    """Nested sections with classes of their own, stray closing tags, items among many open elements."""
+    import time
+
+    extractor = html_extract.Extractor(html_extract.Weights())
+    pages = [lambda n: "".join(f"<section class=c{i}>a" for i in range(n)), lambda n: "<div class=x>" * n + "</p></b>" * n + "words here", lambda n: "<li><ul>" + "<span id=a>" * n + "<li>x</li>" * n, lambda n: "<p>" + "<b class=y>" * n + "<div>x" * n]
+    for page in pages:
+        times = []
+        for n in (2000, 16000):
+            began = time.process_time()
+            assert extractor.extract(page(n))
+            times.append(time.process_time() - began)
+        assert times[1] < 24 * max(times[0], 0.05)
+
+
+def test_html_learns_from_few_rows(spark):
+    """The sample holds the pages of least hash, each once; repeated rows and keys change nothing."""
+    pages = [(i % 7, f"<div class=menu{i % 3}>a menu</div><article><p>{'words to read ' * 20}{i}</p></article>") for i in range(60)]
+    df = spark.createDataFrame(pages, "`page.id` int, html string")
+    assert html_extract.learn_weights(df, "page.id", "html") == html_extract.learn_weights(df.union(df), "page.id", "html")
+    assert html_extract.learn_weights(df, "page.id", "html", sample=5).feature.keys() <= html_extract.learn_weights(df, "page.id", "html").feature.keys()
+    assert html_extract.extract_pages(df, "page.id", url=None).columns == ["page.id", "text"]
+
+
 def test_best_region():
     r = random.Random(4)
     for _ in range(200):
