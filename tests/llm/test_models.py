@@ -102,6 +102,7 @@ def test_topk_query(spark, sf):
 
 def test_topk_odd(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "QUERIES", 3)
     r = random.Random(2)
     data = [(i, [float(r.randint(-2, 2)) for _ in range(4)]) for i in range(90)]  # many ties
     data += [(100, None), (120, [1.0, None, 0.0, 0.0]), (140, [float("nan"), 0.0, 0.0, 0.0]), (160, [float("inf"), 0.0, 0.0, 0.0]), (None, [1.0] * 4), (180, [1.0, 1.0]), (20, data[20][1]), (200, [3e7, -3e7, 1e7, 5e6])]
@@ -124,12 +125,36 @@ def test_threshold_stops_early():
     vectors = r.integers(-3, 4, (4000, 3))
     vectors[:50] = r.integers(80, 100, (50, 3))
     lists = topk.SortedLists(np.arange(4000), vectors)
-    _, found, score, scored = lists.search(np.array([-1]), np.array([[5, 4, 3]]), 10)
+    found = topk.Best(1, 10)
+    scored = lists.search(np.array([-1]), np.array([[5, 4, 3]]), found)
     exact = np.lexsort((np.arange(4000), -(vectors @ [5, 4, 3])))[:10]
-    assert found.tolist() == exact.tolist() and score.tolist() == (vectors @ [5, 4, 3])[exact].tolist()
+    assert found.owner[0].tolist() == exact.tolist() and found.score[0].tolist() == (vectors @ [5, 4, 3])[exact].tolist()
     assert scored < 1000
 
 
+def test_threshold_carries_from_block_to_block():
+    """Of clustered vectors in several blocks, well under half of all scores are taken, and the best are exact."""
+    r = np.random.default_rng(3)
+    centres = r.integers(-40, 40, (20, 16)) * (r.random((20, 16)) < 0.2)
+    vectors = centres[np.repeat(np.arange(20), 500)] + r.integers(-2, 3, (10000, 16))
+    ids, queries = np.arange(10000), np.arange(0, 10000, 100)
+    found, scored = topk.Best(len(queries), 20), 0
+    for start in range(0, 10000, 500):
+        block = ids[start : start + 500]
+        scored += topk.SortedLists(block, vectors[block]).search(queries, vectors[queries], found)
+    for i, q in enumerate(queries):
+        s = vectors @ vectors[q]
+        best = [x for x in np.lexsort((ids, -s)) if x != q][:20]
+        assert found.owner[i].tolist() == best and found.score[i].tolist() == s[best].tolist()
+    assert scored < 0.5 * len(queries) * 10000
+
+
+def test_topk_too_large(spark):
+    df = spark.createDataFrame([(0, [3e18 / 64]), (1, [3e18 / 64])], "vec_id bigint, embedding array<double>")
+    with pytest.raises(ValueError, match="64 bits"):
+        topk.top_k(df, F.lit(True))
+
+
 # ---- toxicity ----
 
 
