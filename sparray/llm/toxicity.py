@@ -45,10 +45,10 @@ from .common import claim, quoted
 
 #: Labelled texts that the machine is fitted on, at most of each kind, and the longest among them.
 TOXIC, CLEAN, TRAIN_CHARS = 2500, 5000, 30_000
-LANDMARKS, ROUNDS, HALF_ROUNDS = 240, 5, 3
+LANDMARKS, ROUNDS, HALF_ROUNDS = 240, 5, 2
 SPAN, DECAY = 5, 0.7
 #: Parts of the clean texts, of which a round looks for words that resemble insults in one.
-PARTS = 3
+PARTS = 6
 #: Letters of a word that are compared at a time; longer words are read in overlapping stretches.
 LONGEST, OVERLAP = 40, 10
 #: Parted letters stand in runs of at most so many.
