@@ -3,19 +3,18 @@
 Base patterns (emails, IP addresses, cards, phone numbers) are found and checked as stated in KINDS and always count.
 Beside them, one generator of high recall per kind proposes further spans (written-out addresses, bracketed dots, numbers
 without a country code, other separators). Boosted trees over format and context features score each proposal; it is
-added if its score reaches the kind's calibrated threshold and it overlaps no base span; of proposals of any kinds that
-overlap, taken from left to right, the one furthest above its threshold stays, the first of equals.
+added if its score reaches the kind's calibrated threshold and it overlaps no base span and no such proposal of an
+earlier kind (email, ip, card, phone).
 
 The trees are fitted on the driver, with numpy, over EXAMPLES made-up labelled spans whose features Spark computes by the
-same expressions; the ways to write a span are families, and a threshold is calibrated on families that the trees scoring
-them haven't seen. On the corpus the trees are CASE expressions. No Python runs on the executors.
+same expressions; on the corpus they are CASE expressions. No Python runs on the executors.
 
 A text's matches are located by their lengths and those of the stretches between them, in two levels, so a text with very
 many matches costs in proportion to its length. All patterns are linear: runs are possessive, and no match starts inside
 a run.
 
 Defined results: null and empty texts hold nothing; offsets are code points, ends exclusive; repeated rows are judged
-each; a null id is passed through; an empty table gives an empty result; other columns are kept whatever their names.
+each; a null id is passed through; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,12 +30,10 @@ from pyspark.sql import functions as F
 from .common import numbered
 
 #: Made-up examples per kind that the trees are fitted on and calibrated with.
-EXAMPLES = 1000
+EXAMPLES = 600
 TREES, DEPTH, RATE = 16, 3, 0.3
-#: Precision on families not seen that a threshold must reach.
-PRECISION = 0.9
-#: Parts of the families of examples for calibration.
-FOLDS = 4
+#: Precision on the calibration half that a threshold must reach.
+PRECISION = 0.995
 CHUNK = 256
 BEFORE, AFTER = 24, 8
 
@@ -83,12 +80,11 @@ KINDS = (
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", lambda m: F.length(digits(m)).between(16, 19) & luhn(F.substring(digits(m), 1, 19)), "[0-9][\\x20-]?[0-9]",
          r"(?<![0-9])[0-9]{4}+[ ./_–-]{1,3}+[0-9]{4,6}+[ ./_–-]{1,3}+[0-9]{4,5}+(?:[ ./_–-]{1,3}+[0-9]{1,7}+)?(?![0-9])", "[0-9]{4}[ ./_–-]{1,3}[0-9]{4}", "card|visa|master|amex|credit|debit|karte|tarjeta|carte"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: F.length(digits(m)).between(8, 15), "\\+[0-9]",
-         r"(?<![0-9.+A-Za-z])(?:00[1-9][0-9]{0,2}[ ./-]\(?[0-9]{2,5}+\)?|\([0-9]{2,5}+\)|[0-9]{3,5}+(?=[ ./-]))[ ./-]{0,2}+[0-9]{3,5}(?:[ ./-]?[0-9]{2,5}){1,2}(?![0-9]|\.[0-9])", "[0-9][ ./)-]", "tel|fon|phone|call|mobile|cell|fax|telefon|handy|móvil|llam|appel"),
+         r"(?<![0-9.+A-Za-z])(?:00[1-9][0-9]?[ ./-]?)?(?:\([0-9]{2,5}+\)|[0-9]{3,5}+)[ ./-]{1,2}+[0-9]{3,4}+[ ./-]?[0-9]{3,5}+(?![0-9.])", "(?:[0-9]{3}|[0-9]\\))[ ./-]", "tel|phone|call|mobile|cell|fax|telefon|handy|móvil|llam|appel"),
 )
 NOT_PERSONAL = r"isbn|issn|order|invoice|version|ver\.|release|ref|serial|build|doi|part|item|license|licence|rev|section|page|year|pp?\."
 
-#: Top-level domains that written-out addresses end with (fixed values).
-TOP_LEVEL = "com|org|net|edu|gov|info|io|de|fr|es|uk|eu|it|nl|ch|at"
+FEATURES = 15
 
 
 def found_by(text: Column, pattern: str, hint: str) -> tuple[Column, Column]:
@@ -140,11 +136,6 @@ def features(kind: Kind, c: Column) -> Column:
         F.size(F.array_distinct(F.regexp_extract_all(text, F.lit("[ ./_–-]"), F.lit(0)))).cast("double"),
         flag(F.lower(text).rlike(r"[a-z0-9]@[a-z0-9]|[(\[{]at[)\]}]")),
         flag(F.lower(text).rlike(r"(?:[a-z0-9-]\.|[(\[{]dot[)\]}] ?| dot )[a-z]{2,}$")),
-        flag(F.lower(text).rlike(rf"(?:\.|[(\[{{]dot[)\]}}] ?| dot )(?:{TOP_LEVEL})$")),
-        flag(text.rlike("^0")),
-        F.coalesce(F.array_max(F.transform(groups, lambda g: F.substring(g, 1, 9).cast("double"))), F.lit(0.0)),
-        flag(F.lower(text).contains(" at ")),
-        flag(F.lower(text).contains(" dot ")),
     )
 
 
@@ -166,10 +157,10 @@ class Node:
             return F.lit(self.value)
         return F.when(f[self.feature] <= self.cut, self.below.column(f)).otherwise(self.above.column(f))
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
+    def score(self, x: np.ndarray) -> float:
         if self.below is None:
-            return np.full(len(x), self.value)
-        return np.where(x[:, self.feature] <= self.cut, self.below.scores(x), self.above.scores(x))
+            return self.value
+        return (self.below if x[self.feature] <= self.cut else self.above).score(x)
 
 
 def fit_tree(x: np.ndarray, gradient: np.ndarray, hessian: np.ndarray, depth: int) -> Node:
@@ -206,31 +197,21 @@ class Model:
         return total
 
 
-def boosted(x: np.ndarray, y: np.ndarray) -> tuple[Node, ...]:
-    """Trees fitted one after another to what is left of the logistic loss."""
+def fit(x: np.ndarray, y: np.ndarray) -> Model:
+    """Boosted trees on the even rows; the threshold is the least score on the odd rows with the wanted precision."""
+    own, rest = slice(0, None, 2), slice(1, None, 2)
     score, trees = np.zeros(len(y)), []
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-score))
-        trees.append(fit_tree(x, p - y, p * (1 - p), DEPTH))
-        score += RATE * trees[-1].scores(x)
-    return tuple(trees)
-
-
-def fit(x: np.ndarray, y: np.ndarray, family: np.ndarray) -> Model:
-    """Boosted trees on all rows. The threshold lies below the least score with the wanted precision, half-way
-    to the next one, where each part of the
-    families of examples is scored by trees that were fitted on the others."""
-    score = np.zeros(len(y))
-    for fold in range(FOLDS):
-        own = family % FOLDS == fold
-        score[own] = RATE * sum(t.scores(x[own]) for t in boosted(x[~own], y[~own]))
-    order = np.argsort(-score, kind="stable")
-    ranked, truth = score[order], y[order]
+        tree = fit_tree(x[own], (p - y)[own], (p * (1 - p))[own], DEPTH)
+        trees.append(tree)
+        score += RATE * np.array([tree.score(row) for row in x])
+    order = np.argsort(-score[rest], kind="stable")
+    ranked, truth = score[rest][order], y[rest][order]
     precision = np.cumsum(truth) / np.arange(1, len(truth) + 1)
     last = np.append(ranked[1:] < ranked[:-1], True)  # a threshold falls between distinct scores
     good = np.flatnonzero((precision >= PRECISION) & last)
-    edge = ranked[good[-1] : good[-1] + 2].mean() if len(good) else np.inf
-    return Model(boosted(x, y), float(edge))
+    return Model(tuple(trees), float(ranked[good[-1]]) if len(good) else float("inf"))
 
 
 # ---- examples --------------------------------------------------------------------------------------------------------
@@ -241,65 +222,47 @@ def _luhn_digit(number: str) -> str:
     return str(-total % 10)
 
 
-def formats(kind: str, label: int, r: random.Random) -> list[Callable[[], str]]:
-    """Ways to write a span, each one a family: personal ones, and others that look like them."""
+def example(kind: str, label: int, r: random.Random) -> tuple[str, str, str]:
+    """A made-up span with what stands before and after it."""
     number = lambda n: "".join(r.choice("0123456789") for _ in range(n))
-    some = lambda n: r.choice("123456789") + number(n - 1)
-    top = lambda: r.choice(TOP_LEVEL.split("|"))
-    byte = lambda: str(r.randint(0, 255))
-    sep = lambda signs="-./ ": r.choice(signs)
-
-    def mail(at: str, dot: str) -> Callable[[], str]:
-        return lambda: f"{_word(r)}{at}{_word(r)}{dot}{top()}"
-
-    def dotted(*dots: str) -> Callable[[], str]:
-        return lambda: byte() + "".join(d + byte() for d in r.sample(dots, 3))
-
-    def card(between: str, valid: bool) -> Callable[[], str]:
-        def make() -> str:
-            raw = r.choice("3456") + number(14)
-            raw += str((int(_luhn_digit(raw)) + (0 if valid else r.randint(1, 9))) % 10)
-            return between.join(raw[i : i + 4] for i in range(0, 16, 4))
-
-        return make
-
-    if kind == "email" and label:
-        whole = [mail(a, d) for a, d in (("(at)", "(dot)"), ("[at]", "[dot]"), ("{at}", "{dot}"), (" (at) ", " (dot) "), (" [at] ", " [dot] "), (" at ", " dot "))]
-        return whole + [mail(a, d) for a in ("(at)", "[at]", "{at}", " (at) ", " [at] ") for d in (".", " dot ")] + [mail("@", d) for d in ("(dot)", "[dot]", "{dot}", " (dot) ", " [dot] ", " dot ")]
+    word = lambda: "".join(r.choice(("an", "be", "the", "or", "to", "ing", "er", "st", "ou", "re")) for _ in range(r.randint(1, 3)))
+    before = f"{word()} {word()} "
+    told = {"email": ("email me ", "contact ", "mail: ", "write to "), "ip": ("from host ", "server ", "ip ", "client "), "card": ("card ", "visa ", "credit card no ", "debit "), "phone": ("call ", "tel ", "phone: ", "mobile ")}[kind]
+    other = ("order ", "invoice no ", "version ", "ref ", "serial ", "isbn ", "section ", "build ", "item ", "part ")
+    after = r.choice((" ", ".", ", ", " " + word()))
     if kind == "email":
-        # a bare "at", a mention, or a price, of which an address has none
-        return [lambda: f"{_word(r)} at {_word(r)}. {_word(r)}", lambda: f"{_word(r)} at {_word(r)} dot {_word(r)}", lambda: f"{_word(r)} @{_word(r)}.{_word(r)}", lambda: f"{_word(r)} (at) {number(2)}.{number(2)}", lambda: f"{_word(r)} at {_word(r)} . {_word(r)}", lambda: f"{_word(r)}@{_word(r)} . {_word(r)}", lambda: f"{_word(r)}(at){number(2)}.{number(2)}", lambda: f"{_word(r)} at {number(1)}.{number(2)}", lambda: f"{_word(r)} at {_word(r)}.{top()}", lambda: f"{_word(r)} at {_word(r)} . {top()}", lambda: f"{_word(r)} at www.{_word(r)}.{top()}", lambda: f"{_word(r)} at {_word(r)}-{_word(r)}.{top()}"]
-    if kind == "ip" and label:
-        return [dotted(d, d, d) for d in ("[.]", "(.)", "[dot]")] + [dotted(d, d, ".") for d in ("[.]", "(.)", "[dot]")] + [dotted(d, ".", ".") for d in ("[.]", "(.)", "[dot]")]
-    if kind == "ip":
-        over = lambda d: lambda: d.join(str(r.randint(256, 999)) for _ in range(4))
-        return [lambda: " . ".join(str(r.randint(0, 40)) for _ in range(4)), lambda: " . ".join(number(3) for _ in range(4)), lambda: " . ".join(byte() for _ in range(4)), over("[.]"), over("[dot]"), over("(.)")]
-    if kind == "card":
-        return [card(b, bool(label)) for b in (".", "/", "  ", "--", "_", " - ")]
-    if label:
-        return [lambda: f"({some(3)}) {some(3)}{sep('- ')}{number(4)}", lambda: f"({some(3)}){some(3)}{sep('- ')}{number(4)}", lambda: f"({some(3)}){some(7)}", lambda: f"{some(3)}-{some(3)}-{number(4)}", lambda: f"{some(3)}.{some(3)}.{number(4)}", lambda: f"{some(3)} {some(3)} {number(4)}", lambda: f"0{some(2)}{sep('/- ')}{some(7)}", lambda: f"0{some(4)} {some(6)}", lambda: f"0{some(3)} {some(3)} {number(4)}", lambda: f"00{some(2)}{sep()}{some(2)}{sep()}{some(7)}", lambda: f"00{some(2)} {some(3)} {some(3)} {number(4)}", lambda: f"00{some(1)} {some(3)}-{some(3)}-{number(4)}"]
-    return [lambda: f"{number(4)}{sep()}{number(4)}{sep()}{number(4)}", lambda: f"{r.randint(1900, 2030)}-{number(3)}{number(4)}", lambda: f"{some(3)}{sep()}{number(3)}{sep()}{number(3)}", lambda: f"{some(5)} {number(3)}{number(3)}", lambda: f"{r.randint(1900, 2030)}-{r.randint(1900, 2030)}", lambda: f"{some(4)}/{number(4)}", lambda: f"{some(5)}-{number(4)}", lambda: f"{some(3)} {number(3)} {number(3)}"]
-
-
-def _word(r: random.Random) -> str:
-    return "".join(r.choice(("an", "be", "the", "or", "to", "ing", "er", "st", "ou", "re")) for _ in range(r.randint(1, 3)))
-
-
-TOLD = {"email": ("email me ", "contact ", "mail: ", "write to "), "ip": ("from host ", "server ", "ip ", "client "), "card": ("card ", "visa ", "credit card no ", "debit "), "phone": ("call ", "tel ", "phone: ", "mobile ", "fon ")}
-OTHER = ("order ", "invoice no ", "version ", "ref ", "serial ", "isbn ", "section ", "build ", "item ", "part ")
-
-
-def example(kind: str, label: int, r: random.Random) -> tuple[str, str, str, int]:
-    """A made-up span with what stands before and after it, and its family."""
-    ways = formats(kind, label, r)
-    family = r.randrange(len(ways))
-    span = ways[family]()
-    before = f"{_word(r)} {_word(r)} "
-    if label and (r.random() < 0.6 or kind == "phone" and span[0] not in "(0"):
-        before += r.choice(TOLD[kind])
+        whole = (("(at)", "(dot)"), ("[at]", "[dot]"), ("{at}", "{dot}"), (" (at) ", " (dot) "), (" [at] ", " [dot] "))
+        half = [(a, d) for a, _ in whole for d in (".", " dot ")] + [("@", d) for d in (*(d for _, d in whole), " dot ")]
+        at, dot = r.choice(whole if r.random() < 0.5 else half) if label or r.random() < 0.2 else (" at ", r.choice((".", " dot ")))
+        span = f"{word()}{at}{word()}{dot}{r.choice(('com', 'org', 'net', 'de')) if label else word()}"
+        if not label and at != " at ":
+            # a bare "at", a mention, or a price, of which an address has none
+            span = r.choice((span.replace(at, " at "), f"{word()} @{word()}{dot}{word()}", f"{word()}{at}{number(2)}.{number(2)}", f"{word()}{at}{word()} . {word()}"))
+    elif kind == "ip":
+        dot = r.choice(("[.]", "(.)", "[dot]")) if label else " . "
+        dots = [dot] * 3
+        if label and r.random() < 0.5:  # half-written: one or two of the dots are plain
+            for i in r.sample(range(3), r.randint(1, 2)):
+                dots[i] = "."
+        span = "".join(str(r.randint(0, 255) if label else r.randint(0, 999)) + d for d in (*dots, ""))
+    elif kind == "card":
+        sep = r.choice((".", "/", "  ", "--", "_", " - "))
+        raw = r.choice("3456") + number(14)
+        raw += _luhn_digit(raw)
+        if not label:
+            raw = raw[:15] + str((int(raw[15]) + r.randint(1, 9)) % 10)
+        span = sep.join(raw[i : i + 4] for i in range(0, 16, 4))
+    else:
+        sep = r.choice(("-", " ", ".", "/"))
+        if label:
+            span = f"({number(3)}) {number(3)}{r.choice('- ')}{number(4)}" if r.random() < 0.7 else f"{number(3)}{sep}{number(3)}{sep}{number(4)}"
+        else:
+            span = r.choice((f"{number(4)}{sep}{number(4)}{sep}{number(4)}", f"{r.randint(1900, 2030)}-{number(3)}{number(4)}", f"{number(3)}{sep}{number(3)}{sep}{number(3)}", f"{number(5)} {number(3)}{number(3)}"))
+    if label and (r.random() < 0.6 or kind == "phone" and not span.startswith("(")):
+        before += r.choice(told)
     elif not label and r.random() < 0.5:
-        before += r.choice(OTHER)
-    return before, span, r.choice((" ", ".", ", ", " " + _word(r))), family
+        before += r.choice(other)
+    return before, span, after
 
 
 def models(spark: SparkSession, seed: int = 7) -> dict[str, Model]:
@@ -308,13 +271,12 @@ def models(spark: SparkSession, seed: int = 7) -> dict[str, Model]:
     out = {}
     for kind in KINDS:
         labels = [i // 2 % 2 for i in range(EXAMPLES)]
-        made = [example(kind.name, y, r) for y in labels]
-        lines = "\x1e".join("\x1f".join(m[:3]) for m in made)
+        lines = "\x1e".join("\x1f".join(example(kind.name, y, r)) for y in labels)
         parts = F.split(F.col("line"), "\x1f", -1)
         rows = spark.range(1).select(F.posexplode(F.split(F.lit(lines), "\x1e", -1)).alias("i", "line"))
         rows = rows.select("i", F.struct(parts[0].alias("b"), parts[1].alias("t"), parts[2].alias("a")).alias("c"))
         got = rows.select("i", features(kind, F.col("c")).alias("f")).orderBy("i").collect()  # EXAMPLES rows
-        out[kind.name] = fit(np.array([g["f"] for g in got]), np.array(labels, dtype=float), np.array([m[3] for m in made]))
+        out[kind.name] = fit(np.array([g["f"] for g in got]), np.array(labels, dtype=float))
     return out
 
 
@@ -333,12 +295,15 @@ def overlaps(a: Column, others: Column) -> Column:
 def with_spans(docs: DataFrame, text: str = "text", prefix: str = "pii_", fitted: dict[str, Model] | None = None) -> DataFrame:
     """docs and, for each kind, the columns <prefix>base_<kind> and <prefix>all_<kind>: arrays of (from, to), in place of
     columns of these names."""
-    fitted = fitted or models(docs.sparkSession)
     added = [f"{prefix}{part}_{k.name}" for part in ("base", "all") for k in KINDS]
-    out, (text,), names = numbered(docs, text, without=tuple(added))
-    kept = out.columns
-    whole = F.coalesce(F.col(text), F.lit(""))
-    col = lambda part, kind: f"{part}_{kind.name}"
+    own_columns, (text,), names = numbered(docs, text, without=tuple(added))
+    return _spans(own_columns, text, prefix, fitted or models(docs.sparkSession)).toDF(*names, *added)
+
+
+def _spans(docs: DataFrame, text: str, prefix: str, fitted: dict[str, Model]) -> DataFrame:
+    whole, kept = F.coalesce(F.col(text), F.lit("")), docs.columns
+    col = lambda part, kind: f"{prefix}{part}_{kind.name}"
+    out = docs
     for kind in KINDS:
         for part, pattern, hint in (("base", kind.base, kind.hint), ("more", kind.generator, kind.generator_hint)):
             matches, between = found_by(whole, pattern, hint)
@@ -350,21 +315,17 @@ def with_spans(docs: DataFrame, text: str = "text", prefix: str = "pii_", fitted
     base = {k.name: F.transform(col("base", k), span) for k in KINDS}
     scored = {k.name: F.transform(col("more", k), own(k, lambda k, s: F.struct(s["from"].alias("from"), s["to"].alias("to"), features(k, s).alias("f")))) for k in KINDS}
     out = out.select(*kept, *[base[k.name].alias(col("base", k)) for k in KINDS], *[scored[k.name].alias(col("more", k)) for k in KINDS])
-    out = out.withColumn("every", F.concat(*[F.col(col("base", k)) for k in KINDS]))
-    margin = lambda k, s: F.struct(s["from"].alias("from"), s["to"].alias("to"), (fitted[k.name].column(s["f"]) - fitted[k.name].threshold).alias("margin"), F.lit(k.name).alias("kind"))
-    good = [F.filter(F.transform(col("more", k), own(k, margin)), lambda s: (s["margin"] >= 0) & ~overlaps(s, F.col("every"))) for k in KINDS]
-    out = out.withColumn("good", F.array_sort(F.concat(*good)))
-
-    def better(taken: Column, s: Column) -> Column:
-        last = F.try_element_at(taken, F.lit(-1))
-        clash = (F.size(taken) > 0) & (s["from"] < last["to"])
-        rest = F.slice(taken, 1, F.greatest(F.size(taken) - 1, F.lit(0)))
-        return F.when(~clash, F.concat(taken, F.array(s))).when(s["margin"] > last["margin"], F.concat(rest, F.array(s))).otherwise(taken)
-
-    out = out.withColumn("taken", F.when(F.size("good") > 1, F.aggregate("good", F.slice("good", 1, 0), better)).otherwise(F.col("good")))
-    more = {k.name: F.transform(F.filter("taken", own(k, lambda k, s: s["kind"] == k.name)), span) for k in KINDS}
-    both = [F.array_sort(F.concat(F.col(col("base", k)), more[k.name])) for k in KINDS]
-    return out.select(*kept, *[F.col(col("base", k)) for k in KINDS], *[b.alias(f"all{i}") for i, b in enumerate(both)]).toDF(*names, *added)
+    every_base = F.concat(*[F.col(col("base", k)) for k in KINDS])
+    out = out.withColumn(f"{prefix}every", every_base)
+    good = {k: F.filter(F.col(col("more", k)), own(k, lambda k, s: (fitted[k.name].column(s["f"]) >= fitted[k.name].threshold) & ~overlaps(s, F.col(f"{prefix}every")))) for k in KINDS}
+    out = out.withColumns({col("good", k): F.transform(good[k], span) for k in KINDS})
+    taken: list[Column] = []
+    added = {}
+    for k in KINDS:
+        good_ones = F.col(col("good", k))
+        added[k.name] = F.filter(good_ones, own(taken, lambda t, s: ~overlaps(s, F.concat(*t)))) if taken else good_ones
+        taken = [*taken, good_ones]
+    return out.select(*kept, *[F.col(col("base", k)) for k in KINDS], *[F.array_sort(F.concat(F.col(col("base", k)), added[k.name])).alias(col("all", k)) for k in KINDS])
 
 
 def listed(part: str, prefix: str = "pii_") -> Column:
@@ -375,9 +336,9 @@ def listed(part: str, prefix: str = "pii_") -> Column:
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[{}]", fitted: dict[str, Model] | None = None) -> DataFrame:
     """docs with every span of every kind replaced by its kind's name in brackets, and all other columns as they are."""
-    plain, (text,), names = numbered(docs, text)
-    found = with_spans(plain, text, "pii_", fitted)
-    spans = F.array_sort(F.concat(*[F.transform(f"pii_all_{k.name}", own(k, lambda k, s: F.struct(s["from"].alias("from"), s["to"].alias("to"), F.lit(mark.format(k.name)).alias("mark")))) for k in KINDS]))
+    docs, (text,), names = numbered(docs, text)
+    found = with_spans(docs, text, "__pii_", fitted)
+    spans = F.array_sort(F.concat(*[F.transform(f"__pii_all_{k.name}", own(k, lambda k, s: F.struct(s["from"].alias("from"), s["to"].alias("to"), F.lit(mark.format(k.name)).alias("mark")))) for k in KINDS]))
 
     def step(acc: Column, s: Column) -> Column:
         fresh = s["from"] >= acc["at"]
@@ -385,6 +346,6 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[{}]", fitted: dict
         return F.struct(F.greatest(acc["at"], s["to"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.array(cut, s["mark"]))).otherwise(acc["out"]).alias("out"))
 
     folded = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step)
-    done = found.withColumn("cut", folded)
-    rest = F.substring(F.col(text), F.col("cut.at") + 1, F.length(text))
-    return done.withColumn(text, F.when(F.size("cut.out") > 0, F.concat(F.array_join("cut.out", ""), rest)).otherwise(F.col(text))).select(*plain.columns).toDF(*names)
+    done = found.withColumn("__pii_cut", folded)
+    rest = F.substring(F.col(text), F.col("__pii_cut.at") + 1, F.length(text))
+    return done.withColumn(text, F.when(F.size("__pii_cut.out") > 0, F.concat(F.array_join("__pii_cut.out", ""), rest)).otherwise(F.col(text))).select(*docs.columns).toDF(*names)
